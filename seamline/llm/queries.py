@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import p2_split as p2
 from . import p8_encoding as p8
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.found(table(spark, sf_dir, "file_snapshots"), table(spark, sf_dir, "split_limits"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.pieces(table(spark, sf_dir, "file_snapshots"), table(spark, sf_dir, "split_limits"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.found(table(spark, sf_dir, "documents"))
 
