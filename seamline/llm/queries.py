@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import p1_credentials as p1
 from . import p2_split as p2
 from . import p8_encoding as p8
 from .common import table
@@ -13,6 +14,18 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1.found(table(spark, sf_dir, "gen_requests"))
+
+
+def p1_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1.findings(table(spark, sf_dir, "gen_requests"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1.redacted(table(spark, sf_dir, "gen_requests"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2.found(table(spark, sf_dir, "file_snapshots"), table(spark, sf_dir, "split_limits"))
 
