@@ -246,7 +246,7 @@ def _line_spans(line: str, parents: str) -> Iterator[Span]:
         for m in pattern.finditer(line):
             value = _trimmed(m.group("value"))
             name = _PATH.search(value) or re.fullmatch(r"[a-z]+(?:_[a-z]+)*(?:_\d+)?|[a-z]{2,}(?:[A-Z][a-z]{2,})*\d*|[A-Z]+(?:_[A-Z]+)*(?:[=(].*)?", value)
-            if token_like(value) or (password_like(value) and not re.search(r"[=(){}\[\]<>,\"'`]", value) and (not name or re.fullmatch(r"[a-z]{4,}\d{3,}", value)) and re.search(r"\d|[#!^%]|[a-z][A-Z]{2}", value)):
+            if token_like(value) or (password_like(value) and not re.search(r"[=(){}\[\]<>,\"'`]", value) and (not name or re.fullmatch(r"[a-z]{4,}\d{3,}", value)) and re.search(r"\d|[#!^%]|[a-z][A-Z]{2}|[A-Z][a-z][A-Z]", value)):
                 yield Span(m.start("value"), m.start("value") + len(value), "prose", f"{parents}prose")
     if line.lstrip().startswith("|") and _ROW.search(line):
         for m in re.finditer(r"\|\s*`?([!-{}~]{6,}?)`?\s*(?=\|)", line):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import p1_credentials as p1
 from . import p2_split as p2
+from . import p5_syntax as p5
 from . import p8_encoding as p8
 from .common import table
 
@@ -34,6 +35,18 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2.pieces(table(spark, sf_dir, "file_snapshots"), table(spark, sf_dir, "split_limits"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5.found(table(spark, sf_dir, "file_actions"))
+
+
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5.files(table(spark, sf_dir, "file_actions"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5.rates(table(spark, sf_dir, "file_actions"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.found(table(spark, sf_dir, "documents"))
 
