@@ -70,7 +70,8 @@ def _toml(text: str) -> int | None:
     try:
         tomllib.loads(text)
     except tomllib.TOMLDecodeError as e:
-        return getattr(e, "lineno", None) or 1
+        m = re.search(r"at line (\d+)", str(e))
+        return int(m.group(1)) if m else text.count("\n") + 1
     except RecursionError:
         return None
     return None

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import p1_credentials as p1
 from . import p2_split as p2
+from . import p3_truncation as p3
 from . import p5_syntax as p5
 from . import p8_encoding as p8
 from .common import table
@@ -35,6 +36,18 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2.pieces(table(spark, sf_dir, "file_snapshots"), table(spark, sf_dir, "split_limits"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.found(table(spark, sf_dir, "gen_responses"), table(spark, sf_dir, "file_actions"))
+
+
+def p3_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.truncated(table(spark, sf_dir, "gen_responses"), table(spark, sf_dir, "file_actions"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.rates(table(spark, sf_dir, "gen_responses"), table(spark, sf_dir, "file_actions"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5.found(table(spark, sf_dir, "file_actions"))
 
