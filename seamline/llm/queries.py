@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import p1_credentials as p1
 from . import p2_split as p2
 from . import p3_truncation as p3
+from . import p4_pairs as p4
 from . import p5_syntax as p5
 from . import p8_encoding as p8
 from .common import table
@@ -48,6 +49,18 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3.rates(table(spark, sf_dir, "gen_responses"), table(spark, sf_dir, "file_actions"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4.found(table(spark, sf_dir, "gen_requests"), table(spark, sf_dir, "gen_responses"))
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4.labels(table(spark, sf_dir, "gen_requests"), table(spark, sf_dir, "gen_responses"))
+
+
+def p4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4.summary(table(spark, sf_dir, "gen_requests"), table(spark, sf_dir, "gen_responses"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5.found(table(spark, sf_dir, "file_actions"))
 
