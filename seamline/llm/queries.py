@@ -11,6 +11,8 @@ from . import p2_split as p2
 from . import p3_truncation as p3
 from . import p4_pairs as p4
 from . import p5_syntax as p5
+from . import p6_encoding_ids as p6
+from . import p7_packing as p7
 from . import p8_encoding as p8
 from .common import table
 
@@ -73,6 +75,22 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5.rates(table(spark, sf_dir, "file_actions"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p6_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6.word_counts(table(spark, sf_dir, "documents"))
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7.packing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"))
+
+
+def p7_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7.waste(p7_packing(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.found(table(spark, sf_dir, "documents"))
 
