@@ -272,7 +272,8 @@ def labels(requests: DataFrame, responses: DataFrame, cutoffs: dict[str, float]
     """Every defect of every answer whose posterior exceeds its cutoff."""
     spark = responses.sparkSession
     cutoffs = CUTOFFS | (cutoffs or {})
-    seen = cut(with_copies(votes(requests, responses), responses))
+    seen = cut(votes(requests, responses))  # the texts are read for this alone; the self-join reads it twice
+    seen = cut(with_copies(seen, responses))
     long = seen.select("response_id", "field_name", F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("votes")) for d in DEFECTS])).alias("x")).select("response_id", "field_name", "x.defect", "x.votes")
     counts = long.groupBy("defect", "votes").count().collect()  # at most 3 ** functions rows a defect
     rows = []
