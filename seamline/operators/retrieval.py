@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from ..functions.arrow import spread, term_counts
 
 
 # --- term statistics ---------------------------------------------------------------------------------------
 
 
 def token_counts(docs: DataFrame, keys: list[str], text: str = "text", aliases: dict | None = None) -> DataFrame:
-    """keys, term, n, first (ordinal of its first token), n_tokens: one row for each term of a document."""
-    toks = docs.select(*keys, X.tokens(text, fixed.ALIASES if aliases is None else aliases).alias("tokens_"))
-    rows = toks.select(*keys, F.size("tokens_").alias("n_tokens"), F.posexplode("tokens_").alias("pos_", "term"))
-    return rows.groupBy(*keys, "term").agg(F.count("*").alias("n"), F.min("pos_").alias("first"), F.max("n_tokens").alias("n_tokens"))
+    """keys, term, n, first (ordinal of its first token), n_tokens: one row for each term of a document.
+
+    ``keys`` identify a row.  Terms are counted where the text is read, so neither texts nor single tokens are
+    shuffled; Python does it, as array functions with lambdas are interpreted and take several times as long.
+    """
+    return term_counts(spread(docs), keys, text, fixed.ALIASES if aliases is None else aliases)
 
 
 def document_frequency(counts: DataFrame, group: list[str]) -> DataFrame:
