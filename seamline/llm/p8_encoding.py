@@ -66,9 +66,11 @@ def char_cost(c: str) -> float:
 
 
 #: A symbol, a capital or a character of another script inside a word of small Latin letters.
+#: The rare character is matched first and what stands before it afterwards, so plain text is passed over quickly.
 _IN_WORD = re.compile(
-    "(?<=[a-z])(?:[^\x00-\x7f\\w’‘·\xad\u200b-\u200f…–—•、。，：；？！（）《》【】“”]|[ÀÂÄÁÃÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖÕØÙÚÛÜÝΑ-Ωα-ωЀ-ӿ])(?=[a-zß-ÿ])"
-    "|(?<=[a-z])[㐀-鿿]{1,2}(?=[a-z\\s.,;:)]|$)|(?<![\\w])[½¼¾²³±≤≥∞∩≡\u2550-\u256c](?=[a-zà-ÿ])"
+    "(?:[^\x00-\x7f\\w’‘·\xad\u200b-\u200f…–—•、。，：；？！（）《》【】“”]|[ÀÂÄÁÃÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖÕØÙÚÛÜÝΑ-Ωα-ωЀ-ӿ])(?<=[a-z].)(?=[a-zß-ÿ])"
+    "|[㐀-鿿](?<=[a-z].)[㐀-鿿]?(?=[a-z\\s.,;:)]|$)|[½¼¾²³±≤≥∞∩≡\u2550-\u256c](?<!\\w.)(?=[a-zà-ÿ])",
+    re.S,
 )
 
 
@@ -161,13 +163,19 @@ def _by_single(text: str, enc: _Single) -> str:
     return enc.run.sub(fix, text)
 
 
+_PIECES = re.compile("(�+| )")
+
+
 def _by_multi(text: str, wrong: str, right: str) -> str:
     """``text`` with each non-ASCII run that ``wrong`` can hold read as ``right``; lost bytes become U+FFFD."""
 
     def fix(m: re.Match) -> str:
         run = m.group()
+        beside = len(run) <= 2 and text[m.start() - 1 : m.start()].isalpha()
+        if not beside and not _SUSPECT.search(run):
+            return run
         out = []
-        for part in re.split("(�+| )", run):
+        for part in _PIECES.split(run):
             if not part or part[0] in "� ":
                 out.append(part)
                 continue
@@ -184,7 +192,7 @@ def _by_multi(text: str, wrong: str, right: str) -> str:
             return run
         if lost > 0.4 * len(kept) + run.count("�") or sum(char_cost(c) <= 1.0 for c in kept) < 0.8 * len(kept):
             return run
-        in_word = len(run) <= 2 and all(c in _LATIN for c in new if c > "\x7f") and text[m.start() - 1 : m.start()].isalpha()
+        in_word = beside and all(c in _LATIN for c in new if c > "\x7f")
         return new if in_word or cost(new) < cost(run) else run
 
     return _RUN.sub(fix, text)
@@ -228,8 +236,10 @@ def _latin_by_gbk(text: str) -> str:
 
 _LEVEL_1 = "".join(bytes([a, b]).decode("gb2312", "ignore") for a in range(0xB0, 0xD8) for b in range(0xA1, 0xFF))
 _SMALL = "".join(c for c in _LATIN if c.islower())
-#: A character outside ordinary prose, or two neighbours that a misread character of two bytes would give.
-_SUSPECT = re.compile(f"[^\x00-\x7f{_LEVEL_1}{re.escape(_TYPO + _CJK_PUNCT + _SMALL)}]|[{re.escape(_TYPO + _SMALL)}]{{2}}")
+_LARGE = "".join(c for c in _LATIN if c.isupper())
+#: A character outside ordinary prose and drawn trees; a capital before another character of more than one byte, as
+#: the first byte of two gives; a small letter before two such, as the first of three gives; a branch without its line.
+_SUSPECT = re.compile(f"[^\x00-\x7f{_LEVEL_1}│├└─{re.escape(_TYPO + _CJK_PUNCT)}{_LATIN}]|[{_LARGE}][^\x00-\x7f]|[{_SMALL}][^\x00-\x7f]{{2}}|├[^─\\s]")
 
 
 def _suspect(text: str) -> bool:
