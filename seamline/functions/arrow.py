@@ -29,9 +29,20 @@ def by_batch(df: DataFrame, schema: str, fn: Callable[..., Iterable[tuple]]) ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its scan has fewer parts than there are; a scan of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """``df`` over all cores if it is a plain scan of fewer parts than there are cores; anything else stays as it is.
+
+    Decided from sizes that the plan knows, without running it: a scan of many files or many bytes, and all that
+    is behind a shuffle, is never touched.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(op in plan.toString() for op in ("Aggregate", "Join", "Repartition", "Window", "Union", "LogicalRDD", "MapInArrow", "LocalRelation")):
+        return df
+    of_part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if int(str(plan.stats().sizeInBytes())) // of_part >= cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def tokenizer(aliases: dict[str, list[str]] = fixed.ALIASES, stopwords: Sequence[str] = fixed.STOPWORDS) -> Callable[[str], list[str]]:
