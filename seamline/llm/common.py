@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.arrow import spread
+
 #: Rows of one Arrow batch handed to a Python worker.  Texts are up to about 120 kB, so a batch stays
 #: far under the memory of a worker, while short texts still share the cost of a batch.
 BATCH_ROWS = 400
@@ -62,4 +64,4 @@ def rows_by_batch(
                 arrays = [pa.array(list(c), type=f.type) for c, f in zip(zip(*found), out)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
-    return df.mapInArrow(run, struct)
+    return spread(df).mapInArrow(run, struct)
