@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import log
+from math import exp, log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ from .common import cut, rows_by_batch
 
 DEFECTS = ("empty_answer", "copies_question", "refusal", "truncated_answer", "wrong_language")
 #: Posterior beyond which a defect is kept; chosen on planted defects (tests/llm/test_pairs.py).
-CUTOFFS = {"empty_answer": 0.5, "copies_question": 0.5, "refusal": 0.5, "truncated_answer": 0.5, "wrong_language": 0.5}
+CUTOFFS = {"empty_answer": 0.8, "copies_question": 0.8, "refusal": 0.8, "truncated_answer": 0.8, "wrong_language": 0.8}
 #: Votes of each defect, in the order of the functions below.
 FUNCTIONS = {
     "empty_answer": ("blank", "nothing_but_marks", "stands_for_nothing", "has_words"),
@@ -232,36 +232,38 @@ def with_copies(seen: DataFrame, responses: DataFrame) -> DataFrame:
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
     """Posterior of the defect for each vote pattern, by expectation-maximization over their counts.
 
-    Each function has a table P(vote | defect or not), started at 'right more often than wrong' and smoothed by
-    a pseudo-count of a share of all answers, so that a function that never fires keeps its start.
+    Each function has a table P(vote | defect or not, it votes), started at 'right more often than wrong' and
+    smoothed by a pseudo-count of a share of all answers, so that a function that never fires keeps its start.
+    An abstention says nothing: without any vote the posterior is the frequency of the defect.
     """
     total = sum(n for _, n in patterns)
     if not total:
         return {}
     width = len(patterns[0][0])
-    start = {1: {1: 0.75, 0: 0.2, -1: 0.05}, 0: {1: 0.03, 0: 0.27, -1: 0.7}}
+    start = {1: {1: 0.9, -1: 0.1}, 0: {1: 0.04, -1: 0.96}}
     tables = [{y: dict(start[y]) for y in (0, 1)} for _ in range(width)]
     prior = 0.05
     post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         for votes_, _n in patterns:
-            odds = log(prior / (1 - prior)) + sum(log(t[1][v] / t[0][v]) for t, v in zip(tables, votes_))
-            post[votes_] = 1 / (1 + 2.718281828459045 ** -max(-50.0, min(50.0, odds)))
+            odds = log(prior / (1 - prior)) + sum(log(t[1][v] / t[0][v]) for t, v in zip(tables, votes_) if v)
+            post[votes_] = 1 / (1 + exp(-max(-50.0, min(50.0, odds))))
         mass = sum(post[v] * n for v, n in patterns)
-        prior = min(0.5, max(1e-4, (mass + 0.5) / (total + 10)))
+        prior = min(0.4, max(1e-4, (mass + 0.5) / (total + 10)))
         for j in range(width):
             for y in (0, 1):
                 weight = 0.02 * total * (prior if y else 1 - prior) + 1.0
-                sums = {k: weight * start[y][k] for k in (1, 0, -1)}
+                sums = {k: weight * start[y][k] for k in (1, -1)}
                 for v, n in patterns:
-                    sums[v[j]] += n * (post[v] if y else 1 - post[v])
+                    if v[j]:
+                        sums[v[j]] += n * (post[v] if y else 1 - post[v])
                 whole = sum(sums.values())
-                tables[j][y] = {k: max(1e-4, s / whole) for k, s in sums.items()}
+                tables[j][y] = {k: min(1 - 1e-4, max(1e-4, s / whole)) for k, s in sums.items()}
             # a function stays what it is: a vote for a defect is likelier under it than without it
-            for k, better in ((1, 1), (-1, 0)):
-                if tables[j][better][k] < tables[j][1 - better][k]:
-                    mean = (tables[j][0][k] + tables[j][1][k]) / 2
-                    tables[j][0][k] = tables[j][1][k] = mean
+            if tables[j][1][1] < tables[j][0][1]:
+                mean = (tables[j][0][1] + tables[j][1][1]) / 2
+                for y in (0, 1):
+                    tables[j][y] = {1: mean, -1: 1 - mean}
     return post
 
 
