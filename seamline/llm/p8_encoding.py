@@ -60,7 +60,7 @@ def char_cost(c: str) -> float:
         return 0.5
     if o >= 0x1F300 or 0xFF01 <= o <= 0xFF5E:
         return 1.5
-    if o < 0x250 or 0x370 <= o <= 0x52F or 0x2000 <= o <= 0x2BFF:
+    if o < 0x250 or c in "ˆ˜" or 0x370 <= o <= 0x52F or 0x2000 <= o <= 0x2BFF:
         return 2.0
     return 3.0 if o < 0xFFFF else 4.0
 
