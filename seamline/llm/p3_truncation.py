@@ -6,12 +6,13 @@ prefix alone does not tell a cut text from a short text that another one happens
 texts here have no longer copy at all.  So every value is first read to its end: by the grammar of its
 language for code, by fences, tables, lists, quotation and sentence ends for prose.  The end is 'cut' (it
 stands inside a word, sentence, statement or structure), 'open' (it may be complete) or complete; an open end
-is a cut where the self-join finds the longer copy.
+is a cut where the self-join finds the longer copy.  Every other value is a probe too: an end that reads as
+complete, and a short open one, is a cut where the longer copy goes on inside its last word, sentence or statement.
 
 Cost: one map over both tables for the ends, one shuffle of the distinct texts for the sort.  The sort is a
 sample sort of our own: boundaries are taken from a sample of bounded size, exact copies are merged before
-(on the map side first), and only values with an open or cut end are probes, so a group of equal texts or of
-texts with a common beginning costs no more than any others.
+(on the map side first), and a text that is a probe itself is one row of the sort, so a group of equal texts or
+of texts with a common beginning costs no more than any others.
 
 Defined cases: null, blank and placeholder texts are never cut.  Redelivered rows are reported once.
 """
@@ -24,6 +25,7 @@ import re
 import tomllib
 import warnings
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from . import ecmascript
 from .common import cut, rows_by_batch
-from .p5_syntax import PARSERS, language
+from .p5_syntax import LANGUAGES, PARSERS, language
 
 #: A mark that a transfer leaves after a cut.
 MARK = re.compile(
@@ -369,18 +371,91 @@ def end_of(text: str | None, lang: str | None = None, suffix: str | None = None)
     return how, base, marked
 
 
+# --- what a longer copy shows ------------------------------------------------------------------------------
+
+#: The languages a value can be read in, as bits: prose first.
+MODES = {None: 1, **{name: 2 << k for k, name in enumerate(PARSERS)}}
+_ENDED = re.compile(r"(?:[.!?。！？…])[\"”’»“」』)）】\]*_`]*\Z")
+_ITEM_MARK = re.compile(r"(?:^|\n)[ \t]*(?:[-*+]|\d+[.)])[ \t]*\Z")
+#: Short answers that are whole by themselves and begin longer texts and words by chance.
+_ANSWER = re.compile(r"(?i)\W*(?:[\d.,:/%+\-]+|yes|no|yep|nope|ok|okay|done|true|false|ja|nein|doch|fertig|oui|non|si|sí|fait|sim|não|hecho|是|否|对|好|不|可以|不是|不行|完成)\W*\Z")
+#: A number and what it counts: whole as well, unless it goes on inside the word.
+_COUNT = re.compile(r"\s*[\d.,]+\s*[^\W\d_]+\s*\Z")
+_LINE_REST = re.compile(r"[ \t\r]*([^\n]?)")
+_NEXT_LINE = re.compile(r"(?:[ \t\r]*(?:#[^\n]*)?\n)*([ \t]*)([^\s\w]+|\w*)")
+_NEXT_TOKEN = re.compile(r"\s*([^\s\w]+|\w*)")
+#: A block of Python goes on with these in its own indent; new members of a class may have been added to a whole one.
+_PY_GOES_ON = {"else", "elif", "except", "finally"}
+_PY_MEMBER = {"def", "class", "async", "@"}
+_SCRIPT_GOES_ON = re.compile(r"(?:else|catch|finally|instanceof|as|satisfies)\Z|[.?,:=&|*%<>^)\]]|[+\-](?![+\-])")
+
+
+def _word(c: str) -> bool:
+    return (c.isalnum() or c == "_") and not "一" <= c <= "鿿"
+
+
+def goes_on_inside(base: str, value: str, mode: int) -> bool:
+    """Does ``value``, which begins with ``base``, go on inside the last word, sentence or statement of ``base``?"""
+    n = len(base)
+    if n >= len(value) or MARK.match(value, n):
+        return False
+    tail = base[-400:]
+    if n <= 400 and (not tail.strip() or _NOTHING.match(tail) or _ANSWER.match(tail)):
+        return False
+    before, after = base[-1], value[n]
+    if _word(before) and _word(after):
+        return True
+    if n <= 400 and _COUNT.match(tail):
+        return False
+    rest = _LINE_REST.match(value, n).group(1)
+    if mode == MODES[None]:
+        if before == "\n":
+            return False
+        if _ITEM_MARK.search(tail):
+            return True
+        shown = tail.rstrip()
+        if _ENDED.search(shown):
+            return before == "." and after.isascii() and _word(after) and _word(base[-2:-1])  # inside a path, name or number
+        if shown.endswith(("```", "~~~")) or (shown.endswith(">") and rest == "<"):
+            return False
+        return bool(rest) and (len(base) >= LEAST_PROBE or _STOP.search(shown) is not None or rest not in ",;:.!?，；：。！？–—-")
+    if before != "\n" and rest:
+        if mode == MODES["python"]:
+            return rest not in "#;" and not tail.rstrip().endswith(";")
+        if mode == MODES["toml"]:
+            return rest != "#"
+        if mode == MODES["json"]:
+            return rest not in "{["
+        if value.startswith(("//", "/*"), value.index(rest, n)) or rest in ";}":
+            return False
+        return not tail.rstrip().endswith((";", "}")) or bool(_SCRIPT_GOES_ON.match(_NEXT_TOKEN.match(value, n).group(1)))
+    if mode == MODES["python"]:
+        m = _NEXT_LINE.match(value, n)
+        token = m.group(2)
+        if not token or token.startswith("#"):
+            return False
+        if token in _PY_GOES_ON:
+            return True
+        return bool(m.group(1)) and token not in _PY_MEMBER
+    if mode in (MODES["javascript"], MODES["typescript"]):
+        token = _NEXT_TOKEN.match(value, n).group(1)
+        return bool(token) and not tail.rstrip().endswith(";") and bool(_SCRIPT_GOES_ON.match(token)) and not token.startswith("*/")
+    return False
+
+
 # --- the operator ------------------------------------------------------------------------------------------
 
 ENDS = "record_type string, record_id bigint, source string, how string, marked boolean, base string"
 
 
 def ends(responses: DataFrame, actions: DataFrame) -> DataFrame:
-    """Every value with a cut or open end."""
+    """Every value with a cut or open end, or a mark behind a complete one."""
 
     def run(kinds: list, ids: list, sources: list, paths: list, texts: list) -> Iterator[tuple]:
         for kind, i, source, path, text in zip(kinds, ids, sources, paths, texts):
             how, base, marked = end_of(text, language(path) if kind == "action" else None)
-            if how != COMPLETE:
+            # a text that is complete and has a mark is a probe without it; the others are probes as they are
+            if how != COMPLETE or marked:
                 yield kind, i, source, how, marked, base
 
     # each table by itself, so that both scans keep their parts
@@ -403,24 +478,39 @@ def _values(responses: DataFrame, actions: DataFrame) -> DataFrame:
     return _answers(responses).unionAll(_files(actions))
 
 
+def _mode() -> Column:
+    """The bit in ``MODES`` of a value's language, by ``record_type`` and ``path`` as in ``ends``."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./\\]*)$", 1))
+    mode = F.lit(MODES[None])
+    for name, lang in LANGUAGES.items():
+        mode = F.when((F.col("record_type") == "action") & (suffix == name), MODES[lang]).otherwise(mode)
+    return mode
+
+
 #: Texts that the boundaries of the sort are taken from, and the characters of each that are kept.
 SAMPLE, BOUNDARY_CHARS = 4000, 256
 #: Bytes of text that one partition of the sort is meant to hold.
 PARTITION_BYTES = 16 << 20
 _TOP = "\U0010ffff"
-#: An open end shorter than this is not decided by a longer text: short answers begin many texts.
+#: An open end shorter than this is not decided by any longer text, as short answers begin many, but by how it goes on.
 LEAST_PROBE = 20
 
 
 def prefixes(probes: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``key`` of each probe whose ``base`` is a strict prefix of one of ``texts.value``.
 
-    What follows the base there must be more than a mark of a cut.  Equal texts are merged; the texts are put
-    into order by boundaries from a bounded sample; a probe goes to the partition of its place and to that of
-    the last text that can begin with it, which between them hold its successor unless boundaries begin with
-    it themselves.
+    What follows the base there must be more than a mark of a cut.  A probe with a ``mode`` other than 0 is found
+    only if a longer text goes on inside its last word, sentence or statement (``goes_on_inside``).  If ``texts``
+    have a ``mode`` (bits of ``MODES``), each of them is such a probe itself, in each of its modes, with the key
+    '=digest/mode'.
+
+    Equal texts are merged; the texts are put into order by boundaries from a bounded sample; a probe goes to the
+    partition of its place and to that of the last text that can begin with it, which between them hold its
+    successor unless boundaries begin with it themselves; one with a mode goes to those in between as well.
     """
-    pool = texts.select("value").groupBy(F.md5("value").alias("digest")).agg(F.first("value").alias("value")).select("value")
+    own, aimed = "mode" in texts.columns, "mode" in probes.columns
+    digest = F.md5("value")
+    pool = texts.groupBy(digest.alias("digest")).agg(F.first("value").alias("value"), (F.bit_or("mode") if own else F.first(F.lit(0))).cast("int").alias("mode")).select("value", "mode")
     sizes = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes")).first()
     if not sizes["n"]:
         return probes.select("key").where("false")
@@ -430,32 +520,49 @@ def prefixes(probes: DataFrame, texts: DataFrame) -> DataFrame:
     bounds = sorted({ordered[len(ordered) * k // n] for k in range(1, n)}, key=lambda t: t.encode("utf-8", "surrogatepass")) if ordered else []
     border = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
     place = lambda c: F.size(F.filter(border, lambda b: b <= c))
+    last = lambda c: place(F.concat(c, F.lit(_TOP)))
     between = F.exists(border, lambda b: F.startswith(b, F.col("base")) & (F.length(b) > F.length("base") + 24))
-    placed = probes.select("key", "base", F.explode(F.array_distinct(F.array(place(F.col("base")), place(F.concat("base", F.lit(_TOP)))))).alias("part"), between.alias("sure"))
-    both = pool.select(place(F.col("value")).alias("part"), "value", F.lit(None).cast("string").alias("key")).unionAll(placed.where("not sure").select("part", F.col("base").alias("value"), "key"))
+    mode = F.col("mode").cast("int") if aimed else F.lit(0)
+    parts = F.when(mode == 0, F.array_distinct(F.array(place(F.col("base")), last(F.col("base"))))).otherwise(F.sequence(place(F.col("base")), last(F.col("base"))))
+    placed = probes.select("key", "base", mode.alias("mode"), F.explode(parts).alias("part"), (between & (mode == 0)).alias("sure"))
+    here = place(F.col("value"))
+    # a text is a probe where it lies; only one that texts of further partitions may begin with goes there as well
+    both = pool.select(here.alias("part"), "value", F.lit(None).cast("string").alias("key"), "mode").unionAll(placed.where("not sure").select("part", F.col("base").alias("value"), "key", "mode"))
+    if own and bounds:
+        ahead = F.exists(border, lambda b: F.startswith(b, F.col("value")) & (b > F.col("value")))
+        both = both.unionAll(pool.where((F.col("mode") != 0) & ahead).select(F.explode(F.sequence(here + 1, last(F.col("value")))).alias("part"), "value", F.lit("=").alias("key"), "mode"))
     schema = _parse_datatype_string("key string")
     out = to_arrow_schema(schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_probes: list[tuple[str, str]] = []
+        open_probes: list[tuple[str, str, int]] = []
         part = None
         for batch in batches:
             hits: list[str] = []
-            for p, value, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for p, value, key, mode in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if p != part:
                     part, open_probes = p, []
                 while open_probes and not value.startswith(open_probes[-1][0]):
                     open_probes.pop()
-                if key is not None:
-                    open_probes.append((value, key))
-                elif open_probes:
+                if key is None and open_probes:
                     kept = []
-                    for base, k in open_probes:
-                        if len(value) > len(base) and not MARK.fullmatch(value, len(base)):
+                    for base, k, wanted in open_probes:
+                        if wanted:
+                            for bit in (b for b in MODES.values() if wanted & b):
+                                if goes_on_inside(base, value, bit):
+                                    hits.append(f"={md5(base.encode('utf-8', 'surrogatepass')).hexdigest()}/{bit}" if k == "=" else k)
+                                    wanted &= ~bit
+                            if wanted:
+                                kept.append((base, k, wanted))
+                        elif len(value) > len(base) and not MARK.fullmatch(value, len(base)):
                             hits.append(k)
                         else:
-                            kept.append((base, k))
+                            kept.append((base, k, wanted))
                     open_probes = kept
+                if key is not None:
+                    open_probes.append((value, key, mode))
+                elif mode:
+                    open_probes.append((value, "=", mode))
             if hits:
                 yield pa.RecordBatch.from_arrays([pa.array(hits, type=out.field(0).type)], schema=out)
 
@@ -469,14 +576,23 @@ TRUNCATED = "record_type string, record_id bigint, source string, marked boolean
 def truncated(responses: DataFrame, actions: DataFrame) -> DataFrame:
     """One row for each cut record: whether a mark follows the cut, and what shows it."""
     seen = cut(ends(responses, actions).dropDuplicates(["record_type", "record_id"]))  # read by the probes and by the join
-    probes = seen.select(F.concat_ws(":", "record_type", F.col("record_id").cast("string")).alias("key"), "base").where((F.col("how") == CUT) & (F.col("base") != "") | (F.length("base") >= LEAST_PROBE))
-    texts = _values(responses, actions).select("value").unionAll(actions.select(F.col("original_content").cast("string").alias("value")).where("original_content is not null")).where("value <> ''")
-    longer = prefixes(probes, texts).select(F.col("key").alias("longer_key"))
-    joined = seen.join(longer, F.concat_ws(":", "record_type", F.col("record_id").cast("string")) == F.col("longer_key"), "left")
+    record = F.concat_ws(":", "record_type", F.col("record_id").cast("string"))
+    # a cut or long open end with any longer text, a complete one before a mark by how the text goes on
+    aimed = F.when(F.col("how") == COMPLETE, MODES[None]).otherwise(0)
+    probes = seen.select(record.alias("key"), "base", aimed.alias("mode")).where((F.col("how").isin(CUT, COMPLETE)) & (F.col("base") != "") | (F.length("base") >= LEAST_PROBE))
+    values = _values(responses, actions).where("value <> ''")
+    originals = actions.select(F.col("original_content").cast("string").alias("value"), F.lit(0).alias("mode")).where("original_content is not null and original_content <> ''")
+    longer = cut(prefixes(probes, values.select("value", _mode().alias("mode")).unionAll(originals)))  # few keys, read by two joins
+    own = values.select("record_type", "record_id", "source", F.format_string("=%s/%d", F.md5("value"), _mode()).alias("own_key")).join(longer.where("key like '=%'"), F.col("own_key") == F.col("key"))
+    joined = seen.join(longer.where("key not like '=%'").select(F.col("key").alias("longer_key")), record == F.col("longer_key"), "left")
     copy = F.col("longer_key").isNotNull()
-    return joined.where((F.col("how") == CUT) | copy).select(
+    by_end = joined.where((F.col("how") == CUT) | copy).select(
         "record_type", "record_id", "source", "marked", F.when(copy & (F.col("how") == CUT), "longer copy and end").when(copy, "longer copy").otherwise("end").alias("evidence")
     )
+    by_copy = own.select("record_type", "record_id", "source", F.lit(False).alias("marked"), F.lit("longer copy").alias("evidence"))
+    # of a record in both, the row that knows its end is kept
+    picked = F.min_by(F.struct("source", "marked", "evidence"), F.col("by")).alias("x")
+    return by_end.withColumn("by", F.lit(0)).unionAll(by_copy.withColumn("by", F.lit(1))).groupBy("record_type", "record_id").agg(picked).select("record_type", "record_id", "x.source", "x.marked", "x.evidence")
 
 
 def found(responses: DataFrame, actions: DataFrame) -> DataFrame:
