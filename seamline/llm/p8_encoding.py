@@ -246,6 +246,36 @@ def _suspect(text: str) -> bool:
     return bool(_SUSPECT.search(text) or _IN_WORD.search(text))
 
 
+def _split(text: str, every: bool = False) -> tuple[list[str], list[str]]:
+    """The parts of ``text`` to be repaired, and the mentions between them.
+
+    In misread text quotation marks may be misread bytes, and what stands between backticks is as garbled as the
+    rest.  So a mention is kept only on a line without damage of a text that has intended characters as well;
+    ``every`` keeps all of them, to see whether there is damage at all.
+    """
+    mentions = [m for m in _MENTION.finditer(text) if not m.group().isascii()]
+    if mentions and not every:
+        bare = _MENTION.sub(lambda m: m.group() if m.group().isascii() else "\0" * len(m.group()), text)
+        damaged, intended, at = [], False, 0
+        for line in bare.split("\n"):
+            if not line.isascii():
+                if _suspect(line):
+                    damaged.append((at, at + len(line)))
+                else:
+                    intended = True
+            at += len(line) + 1
+        mentions = [m for m in mentions if not any(a <= m.start() < b for a, b in damaged)] if intended else [] if damaged else mentions
+    parts, at = [], 0
+    for m in mentions:
+        parts.append(text[at : m.start()])
+        at = m.end()
+    return [*parts, text[at:]], [m.group() for m in mentions]
+
+
+def _joined(parts: list[str], kept: list[str]) -> str:
+    return "".join(x for pair in zip(parts, [*kept, ""]) for x in pair)
+
+
 def repair(text: str | None) -> tuple[str, bool, bool, int, float, float, str] | None:
     """Repaired text, whether it changed, whether something is lost, layers, cost before and after, encodings.
 
@@ -253,20 +283,17 @@ def repair(text: str | None) -> tuple[str, bool, bool, int, float, float, str] |
     """
     if not text or text.isascii():
         return None
-    parts, at = [], 0
-    for m in _MENTION.finditer(text):
-        if not m.group().isascii():
-            parts += [text[at : m.start()], m.group()]
-            at = m.end()
-    parts.append(text[at:])
-    body = parts[::2]
+    body, quoted = _split(text, every=True)
     if not any(map(_suspect, body)) and "斤拷" not in text:
         return None
     lost = any(_LOST.search(p) for p in body)
     names: list[str] = []
     layers, multi_done = 0, False
-    now = body
+    fixed = text
     for _ in range(MAX_LAYERS):
+        now, kept = _split(fixed)
+        if layers and quoted and not any(map(_suspect, _split(fixed, every=True)[0])):
+            break  # what is left is quoted
         best, best_cost, name, base = None, sum(map(cost, now)), "", sum(map(cost, now))
         for enc in _SINGLES:
             new = [p if p.isascii() else _by_single(p, enc) for p in now]
@@ -289,12 +316,12 @@ def repair(text: str | None) -> tuple[str, bool, bool, int, float, float, str] |
                 best, best_cost, name = new, c, "gbk>cp1252"
         if best is None or best_cost > base - 1.0:
             break
-        now, layers, multi_done = best, layers + 1, multi_done or name.split(">")[0] in MULTI_BYTE or name.startswith("gbk")
+        fixed, layers, multi_done = _joined(best, kept), layers + 1, multi_done or name.split(">")[0] in MULTI_BYTE or name.startswith("gbk")
         names.append(name)
     if not layers and not lost:
         return None
-    fixed = "".join(x for pair in zip(now, [*parts[1::2], ""]) for x in pair)
-    gone = any(_LOST.search(p) for p in now)
+    left, spans = _split(fixed, every=True)
+    gone = any(_LOST.search(p) for p in [*left, *(m for m in spans if m not in quoted)])
     return fixed, layers > 0, gone, layers, round(cost(text), 1), round(cost(fixed), 1), ",".join(names)
 
 
