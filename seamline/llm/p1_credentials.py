@@ -155,10 +155,17 @@ _ACCOUNT = re.compile(r"""(?i)(?:账号|账户|帐号|用户|accounts?|login|tes
 _ROW = re.compile(r"(?i)密码|口令|密钥|password|passwort|kennwort|mot de passe|contraseña|senha|secret|token")
 _BEGIN = re.compile(r"-----BEGIN (?P<kind>(?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 
-#: A line without any of these holds nothing that a parser above would accept.
+_S = r"[^\S\n]"
+#: A line without any of these holds nothing that a parser above would accept: the words of ``sensitive`` and the fixed
+#: words or the form of each parser, in the order of the parsers.
 _TRIGGER = re.compile(
-    r"(?i:pass|pwd|secret|token|key|cred|auth|bearer|basic|identified|login|kennwort|senha|contrase|account|konto|compte|\b(?:mysql|docker|psql|curl)\b|insert into \w*(?:client|user)|echo .*\| *sudo)"
-    r"|://[^\s/@]*:[^\s/@]+@|密码|口令|密钥|令牌|秘钥|账号|账户|帐号|AKIA|ASIA|gh[pousr]_|glpat|sk_live|sk-|xox|AIza|SG\.|npm_|hf_|ya29|eyJ|pypi-|dop_v1|\bsk_test"
+    r"(?i:pass|pwd|secret|token|key|cred|auth|bearer|basic|identified|login|kennwort|senha|contrase|account|konto|compte"
+    rf"|log_in|sign_?in|connect\(|\b(?:mysql|docker|psql|curl)|insert{_S}+into{_S}+\w*(?:client|user)|echo{_S}[^\n]*\|{_S}*su"
+    rf"|(?:用户|cuenta|conta|user){_S}*[:：]?{_S}*[`\"']?[\w.\-@]+[`\"']?{_S}*[/／,，:]{_S}*[`\"']?[!-~]{{6}})"
+    rf"|\b(?:redis-cli|mongo\w*|smbclient|7z|zip)\b[^\n|]*?{_S}-[paP]|(?<!\S)(?:-u|--user)(?:=|{_S})*[\"']?[\w.\-@]+:"
+    rf"|[\w+/=.\-]{{2}}[\"']{_S}*\+{_S}*[\"'][\w+/=.\-]{{2}}"
+    r"|://[^\s/@]*:[^\s/@]+@|密码|口令|密钥|令牌|秘钥|凭据|账号|账户|帐号"
+    r"|AKIA|ASIA|gh[pousr]_|github_pat|glpat|[sr]k_live|\bsk_test|sk-|xox|AIza|SG\.|npm_|hf_|ya29|eyJ|pypi-|dop_v1"
 )
 
 
