@@ -69,15 +69,21 @@ _PY_TOKEN = re.compile(
 )
 
 
+def _triple_end(text: str, m: re.Match) -> int:
+    """Offset of the quotes that end the string which ``m`` begins, or -1."""
+    end = text.find(m.group(3), m.end())
+    while end > 0 and text[end - 1] == "\\":
+        end = text.find(m.group(3), end + 1)
+    return end
+
+
 def _python_state(text: str) -> tuple[str, list[str], str] | None:
     """Text with an unended string dropped, the brackets open at its end, and what was dropped; None if they don't match."""
     stack, pos = [], 0
     while m := _PY_TOKEN.search(text, pos):
         pos = m.end()
         if m.group("triple"):
-            end = text.find(m.group(3), pos)
-            while end > 0 and text[end - 1] == "\\":
-                end = text.find(m.group(3), end + 1)
+            end = _triple_end(text, m)
             if end < 0:
                 return text[: m.start()] + '""', stack, text[m.end() :]
             pos = end + 3
@@ -127,20 +133,8 @@ def _python_ends_open(text: str) -> bool:
             return False  # a complete line that stands wrong
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         pass
-    starts = [m.start() for m in _TOP_LEVEL.finditer(text)]
-    split = next((s for s in reversed(starts) if s < len(text.rstrip())), 0)
-    head, tail = text[:split], text[split:]
-    while head and not _parses(head):
-        # a top-level look-alike inside of a string or a bracket: take the statement before it too
-        starts = [s for s in starts if s < split]
-        if not starts or len(tail) > 20_000:
-            return False
-        split = starts[-1]
-        head, tail = text[:split], text[split:]
-        if len(starts) < 3 or text.count("\n", split) > 400:
-            break
-    if head and not _parses(head):
-        return False
+    split = _last_start(text)
+    tail = text[split:]
     whole = tail.endswith("\n")
     lines = tail.rstrip("\r\n").split("\n")
     for keep in (lines,) if whole or _stands_alone(lines[-1]) else (lines, lines[:-1]):
@@ -165,6 +159,44 @@ def _python_ends_open(text: str) -> bool:
     return False
 
 
+def _last_start(text: str) -> int:
+    """Where the last top-level statement that only valid ones stand before begins; 0 if that is the first.
+
+    One pass over the tokens drops what looks like a statement inside of a string or a bracket; what is valid up
+    to one statement is valid up to all before it, so the last of them is found by halving.
+    """
+    stop = len(text.rstrip())
+    outside, depth, pos = [], 0, 0
+    marks = [m.start() for m in _TOP_LEVEL.finditer(text) if m.start() < stop]
+    k = 0
+    while m := _PY_TOKEN.search(text, pos):
+        while k < len(marks) and marks[k] <= m.start():
+            if not depth:
+                outside.append(marks[k])
+            k += 1
+        pos = m.end()
+        if m.group("triple"):
+            end = _triple_end(text, m)
+            pos = len(text) if end < 0 else end + 3
+        elif m.group("bad"):
+            pos = (text.find("\n", pos) + 1) or len(text)
+        elif b := m.group("br"):
+            depth = depth + 1 if b in _OPENERS else max(0, depth - 1)
+        while k < len(marks) and marks[k] < pos:
+            k += 1  # inside of a string or a comment
+    if not depth:
+        outside += marks[k:]
+    # a decorated definition begins at its first decorator, a continued line at the line before
+    starts = [o for before, o in zip([None, *outside], outside) if o and not (before is not None and text[before] == "@") and not re.search(r"\\\r?\n\Z", text[max(0, o - 3) : o])]
+    if not starts or _parses(text[: starts[-1]]):
+        return starts[-1] if starts else 0
+    low, high = 0, len(starts) - 1  # of the first ``low`` all are valid, ``high`` is not
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (mid + 1, high) if _parses(text[: starts[mid]]) else (low, mid)
+    return starts[low - 1] if low else 0
+
+
 def _last_word_is_torn(text: str) -> bool:
     """Does ``text`` end in a name that it has nowhere else while it has longer names that begin so?
 

@@ -38,3 +38,19 @@ def test_own_probes_match_brute_force(spark, monkeypatch):
     want = {t for t in texts if any(u.startswith(t) and p3.goes_on_inside(t, u, 1) for u in texts)}
     got = [r[0] for r in p3.prefixes(spark.createDataFrame([], "key string, base string"), values).collect()]
     assert sorted(got) == sorted(f"={p3.md5(t.encode()).hexdigest()}/1" for t in want)
+
+
+LONG_LIST = "TABLE = [\n" + "    ('a', 1),\n" * 900
+LONG_TEXT = 'import os\n\nQUERY = """\n' + "from one table\nx = 1\nif so, more of it\n" * 900
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['"""Doc\nfor x', '"""About this.\n\nIt is read\nwith care and\nfrom the start', LONG_TEXT, "import os\n\n" + LONG_TEXT[11:] + '"""\nrun(a,', "import os\n\n" + LONG_LIST + "    ('b',", "f(\n" + "'a',\n" * 500 + "'b", "import os\n\n@a\n@b\n@c\ndef f(x,"],
+)
+def test_python_cut_far_from_the_start_of_its_statement(text):
+    assert p3.code_end(text, "python") == p3.CUT
+
+
+def test_python_damage_further_up_is_no_cut():
+    assert p3.code_end("import os\nx = = 1\n" + "y = 1\n" * 3000 + "z = (", "python") is None
