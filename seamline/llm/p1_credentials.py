@@ -267,22 +267,34 @@ _OPENS = re.compile(r"""^(?P<indent>\s*)(?:-\s+)?["']?(?P<name>[\w.\-$]+)["']?\s
 _SECTION = re.compile(r"^\s*\[\[?(?P<name>[\w.\-\"' ]+)\]\]?\s*$")
 
 
-def _parents(lines: list[tuple[int, str]], at: int) -> str:
-    """Key path of the enclosing keys of line ``at``: those above it that open a block and stand further left."""
-    indent, names = len(lines[at][1]) - len(lines[at][1].lstrip()), []
-    for k in range(at - 1, max(-1, at - 400), -1):
-        if indent == 0 and names:
-            break
-        line = lines[k][1]
-        if m := _SECTION.match(line):
-            names.append(m.group("name"))
-            break
-        if indent and (m := _OPENS.match(line)) and len(m.group("indent")) < indent:
-            indent = len(m.group("indent"))
-            names.append(m.group("name"))
-        elif not indent and not line.strip():
-            break
-    return "".join(f"{n}." for n in reversed(names))
+class _Parents:
+    """Key path of the enclosing keys of a line: those above it that open a block and stand further left, up to a section.
+
+    Lines are asked for in order, so one pass keeps the open keys on a stack by indent.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.lines, self.at = text.split("\n"), 0
+        self.open: list[tuple[int, str]] = []
+        self.section, self.blank = "", False
+
+    def of(self, at: int) -> str:
+        for line in self.lines[self.at : at]:
+            if m := _SECTION.match(line):
+                self.open, self.section, self.blank = [], m.group("name"), False
+            elif m := _OPENS.match(line):
+                indent = len(m.group("indent"))
+                while self.open and self.open[-1][0] >= indent:
+                    self.open.pop()
+                self.open.append((indent, m.group("name")))
+            elif not line.strip():
+                self.blank = True
+        self.at = max(self.at, at)
+        line = self.lines[at]
+        indent = len(line) - len(line.lstrip())
+        names = [name for i, name in self.open if i < indent]
+        top = names and self.open[0][0] == 0 or not indent and self.blank
+        return "".join(f"{n}." for n in ([] if top or not self.section else [self.section]) + names)
 
 
 def _private_keys(text: str) -> Iterator[Span]:
@@ -301,8 +313,7 @@ def spans(text: str | None, cut_at: int | None = None) -> list[Span]:
         return []
     found: list[Span] = list(_private_keys(text)) if "PRIVATE KEY" in text else []
     keys = [(s.start, s.end) for s in found]
-    lines: list[tuple[int, str]] | None = None
-    starts: list[int] = []
+    above: _Parents | None = None
     done = -1
     for t in _TRIGGER.finditer(text):
         if t.start() < done:
@@ -316,14 +327,8 @@ def spans(text: str | None, cut_at: int | None = None) -> list[Span]:
         hits = list(_line_spans(line, ""))
         if not hits:
             continue
-        if lines is None:
-            lines, p = [], 0
-            for piece in text.split("\n"):
-                lines.append((p, piece))
-                starts.append(p)
-                p += len(piece) + 1
-        at = text.count("\n", 0, start)
-        parents = _parents(lines, at)
+        above = above or _Parents(text)
+        parents = above.of(text.count("\n", 0, start))
         found += [Span(start + h.start, start + h.end, h.kind, parents + h.path) for h in hits]
     limit = len(text) if cut_at is not None and len(text) >= cut_at else None
     kept: list[Span] = []

@@ -16,3 +16,8 @@ LINES = [
 @pytest.mark.parametrize("line", LINES)
 def test_what_a_parser_accepts_has_a_trigger(line):
     assert list(p1._line_spans(line, "")) and p1.spans(f"first\n{line}\nlast")
+
+
+def test_key_path_of_a_long_block():
+    filler = "".join(f"    a{k}: {k}\n" for k in range(900))
+    assert [s.path for s in p1.spans(f"db:\n  main:\n{filler}    password: '{PW}'\nother:\n  password: '{PW}'\n")] == ["db.main.password", "other.password"]
