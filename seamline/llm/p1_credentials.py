@@ -1,15 +1,17 @@
 """Problem 1: credentials embedded in source code and configuration.
 
-Method: configuration formats (JSON, YAML, TOML, INI, dotenv, shell, SQL, code assignments) are parsed into
-key paths with the offsets of their values; sensitive key names and the shapes of values are tested; the
-accepted spans are spliced out of the original bytes.  Values that stand outside of pairs (URLs, headers,
+Method: configuration formats (JSON, YAML, TOML, INI, dotenv, properties, XML; also inside of fences) are parsed
+into key paths with the offsets of their values (``p1_formats``); sensitive key names and the shapes of values are
+tested; the accepted spans are spliced out of the original bytes.  In code the same is done for names and the
+string literals assigned to them, over lines and pieces.  Values that stand outside of pairs (URLs, headers,
 command options, calls, tables, prose) get parsers of their own that yield the same (key path, span) facts,
 and every value passes the same tests.
 
-One map over the rows: no shuffle of texts.  A document that is a prefix of the full document of its row is
-not scanned twice.  Null, empty and very long texts, ties and repeated rows have no special case; redelivered
-rows are reported once.  What a cut field shows of a credential is no credential: spans that touch the end of
-a text of exactly ``cut_at`` characters are dropped, and a private key needs its END line.
+One map over the rows: no shuffle of texts; every field is read, texts that equal another field of the row share
+its result.  Null, empty and very long texts, ties and repeated rows have no special case; redelivered rows are
+reported once.  What a cut field shows of a credential is no credential: a ``document_text`` that is not the whole
+document (it has exactly ``cut_at`` characters, or the full text goes on behind it) loses spans that touch its end,
+and a private key needs its END line.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import p1_formats
 from .common import rows_by_batch
 
 FIELDS = ("full_document_text", "document_text", "selected_text")
@@ -36,6 +39,8 @@ class Span(NamedTuple):
     end: int
     kind: str
     path: str
+    #: What of it is masked if not all of it: the pieces of a value that is put together.
+    parts: tuple[tuple[int, int], ...] = ()
 
 
 # --- value shapes ------------------------------------------------------------------------------------------
@@ -69,7 +74,7 @@ def token_like(value: str) -> bool:
     """A random string of a length that cannot be guessed: hexadecimal, base 64 or the like."""
     if TOKEN.fullmatch(value):
         return True
-    if not 16 <= len(value) <= 512 or placeholder(value) or _UUID.fullmatch(value) or _HASH.match(value):
+    if len(value) < 16 or placeholder(value) or _UUID.fullmatch(value) or _HASH.match(value):
         return False
     if re.fullmatch(r"(?i)[0-9a-f]{32,}", value):
         return True
@@ -83,7 +88,7 @@ def token_like(value: str) -> bool:
 
 def password_like(value: str) -> bool:
     """A word that a person or a generator chose as a password: no plain word, name, path or sentence."""
-    if not 6 <= len(value) <= 128 or placeholder(value) or re.search(r"\s", value) or _UUID.fullmatch(value) or _HASH.match(value):
+    if len(value) < 6 or placeholder(value) or re.search(r"\s", value) or _UUID.fullmatch(value) or _HASH.match(value):
         return False
     if not value.isascii() or (_PATH.search(value) and not re.search(r"[#!^%]|\.\d+$", value)):
         return False
@@ -134,8 +139,6 @@ _PAIR = re.compile(
     r"(?:" + _QUOTED.format("") + r"|(?P<bare>[^\s\"'`,;{}()\[\]<>|][^\s\"'`,;{}()\[\]<>|]*))"
 )
 _DEFAULT = re.compile(r"""(?:\bget|getenv|getOrDefault|env|config)\(\s*["'](?P<name>[\w.\-]+)["']\s*,\s*["'](?P<value>[^"'\n]+)["']""")
-_JOINED = re.compile(r"""(?:["'](?P<a>[\w+/=.\-]{2,})["']\s*\+\s*["'](?P<b>[\w+/=.\-]{2,})["'])""")
-_ASSIGNED = re.compile(r"""^\s*(?:export\s+)?(?:const|let|var|final|static|public|private|\s)*(?P<name>[\w.$]+)[^=\n]*=""")
 _URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s:/@"'`<>{}]*):(?P<value>[^\s/@"'`<>]+)@[\w.\-]""")
 _QUERY = re.compile(r"[?&](?P<name>[\w.\-]+)=(?P<value>[^&\s\"'`#<>{}]+)")
 _SCHEME = re.compile(r"(?i)\b(?P<kind>bearer|basic|token|apikey)\s+(?P<value>[A-Za-z0-9+/_=.\-]{8,})")
@@ -163,7 +166,7 @@ _TRIGGER = re.compile(
     rf"|log_in|sign_?in|connect\(|\b(?:mysql|docker|psql|curl)|insert{_S}+into{_S}+\w*(?:client|user)|echo{_S}[^\n]*\|{_S}*su"
     rf"|(?:用户|cuenta|conta|user){_S}*[:：]?{_S}*[`\"']?[\w.\-@]+[`\"']?{_S}*[/／,，:]{_S}*[`\"']?[!-~]{{6}})"
     rf"|\b(?:redis-cli|mongo\w*|smbclient|7z|zip)\b[^\n|]*?{_S}-[paP]|(?<!\S)(?:-u|--user)(?:=|{_S})*[\"']?[\w.\-@]+:"
-    rf"|[\w+/=.\-]{{2}}[\"']{_S}*\+{_S}*[\"'][\w+/=.\-]{{2}}"
+    r"|[\w+/=.\-]{2}[\"']\s*\+\s*[\"'][\w+/=.\-]{2}"
     r"|://[^\s/@]*:[^\s/@]+@|密码|口令|密钥|令牌|秘钥|凭据|账号|账户|帐号"
     r"|AKIA|ASIA|gh[pousr]_|github_pat|glpat|[sr]k_live|\bsk_test|sk-|xox|AIza|SG\.|npm_|hf_|ya29|eyJ|pypi-|dop_v1"
 )
@@ -211,11 +214,6 @@ def _line_spans(line: str, parents: str) -> Iterator[Span]:
     for m in _DEFAULT.finditer(line):
         if _accept(m.group("name"), m.group("value"), True):
             yield Span(m.start("value"), m.end("value"), "default", f"{parents}{m.group('name')}")
-    for m in _JOINED.finditer(line):
-        whole = m.group("a") + m.group("b")
-        left = _ASSIGNED.match(line)
-        if TOKEN.fullmatch(whole) or (left and _accept(left.group("name"), whole, True)):
-            yield Span(m.start("a"), m.end("b"), "joined", f"{parents}{left.group('name') if left else ''}")
     for m in _URL.finditer(line):
         value = _percent(m.group("value"))
         if not placeholder(value) and not value.startswith("{") and len(value) >= 4 and value.lower() not in _PASSWORD_WORDS:
@@ -307,15 +305,92 @@ def _private_keys(text: str) -> Iterator[Span]:
             yield Span(m.start(), end, "private key", "")
 
 
-def spans(text: str | None, cut_at: int | None = None) -> list[Span]:
-    """All credentials of ``text`` by offset, none inside another."""
+_TOKEN_PIECE = r"[rRbBuUfF]{0,2}(?:\"\"\"(?P<a>[\s\S]*?)\"\"\"|'''(?P<b>[\s\S]*?)'''|\"(?P<c>(?:[^\"\\\n]|\\.)*)\"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`)"
+_PIECE = re.compile(_TOKEN_PIECE)
+_TARGET = re.compile(r"""(?P<name>["'`]?[A-Za-z_$一-鿿][\w$.\-]*(?:\[["'][\w.\-]+["']\])?["'`]?)\s*(?::\s*[A-Za-z][\w.\[\]| ]*?\s*=|[:=](?![=>])|：)\s*(?P<paren>\()?\s*(?=[rRbBuUfF]{0,2}["'`])""")
+_PLUS, _SPACE = re.compile(r"\s*(?:\+|\.\.?(?=\s*[\"'])|\\\r?\n)\s*"), re.compile(r"\s+")
+_CHAIN_START = re.compile(r"""["'`]\s*\+\s*["'`]""")
+
+
+def _chain(text: str, at: int, paren: bool) -> list[tuple[int, int]]:
+    """Offsets of the contents of string literals that one expression at ``at`` puts together."""
+    parts = []
+    while m := _PIECE.match(text, at):
+        parts.append(m.span(m.lastgroup))
+        glue = _PLUS.match(text, m.end()) or (_SPACE.match(text, m.end()) if paren else None)
+        if glue is None:
+            break
+        at = glue.end()
+    return parts
+
+
+def _literals(text: str, begin: int, end: int) -> Iterator[Span]:
+    """Credentials in literals of several lines or pieces whose expression begins in ``text[begin:end]``."""
+    for m in _TARGET.finditer(text, begin, len(text)):
+        if m.start() >= end:
+            break
+        parts = _chain(text, m.end(), m.group("paren") is not None)
+        if not parts or (len(parts) == 1 and "\n" not in text[m.start("name") : parts[0][1]]):
+            continue
+        name = _unquote(m.group("name"))
+        parts = [(a + len(p) - len(p.lstrip()), b - len(p) + len(p.rstrip())) for a, b in parts for p in [text[a:b]]] if len(parts) == 1 else parts
+        value = "".join(text[a:b] for a, b in parts)
+        if TOKEN.fullmatch(value) or _accept(name, value, True):
+            yield Span(parts[0][0], parts[-1][1], "joined", name, tuple(parts))
+    for m in _CHAIN_START.finditer(text, begin):  # a token in pieces under any name
+        if m.start() >= end:
+            break
+        first = max(text.rfind(q, begin, m.start()) for q in "\"'`")
+        parts = _chain(text, first, False) if first >= begin else []
+        if len(parts) > 1 and TOKEN.fullmatch("".join(text[a:b] for a, b in parts)):
+            yield Span(parts[0][0], parts[-1][1], "joined", "", tuple(parts))
+
+
+#: Names that only say that here is the value of the name above.
+_VALUE_NAMES = {"value", "val", "default", "data", "content", "raw", "text", "current", "plain", "plaintext"}
+
+
+def _pair_kind(pair: p1_formats.Pair) -> str | None:
+    """What kind of secret the value of a pair is, by the names of its path and its shape; None for none."""
+    names = pair.names
+    kind = sensitive(names[-1].rsplit(".", 1)[-1])
+    if kind is None and len(names) > 1:
+        if names[-1].lower() in _VALUE_NAMES:
+            kind = sensitive(names[-2])
+        elif names[-2].lower() in ("passwords", "secrets", "tokens"):
+            kind = "password" if names[-2].lower() == "passwords" else "secret"
+    if kind == "password" and password_like(pair.value) and (pair.quoted or not pair.value.startswith(("$", "%"))):
+        return kind
+    if kind == "secret":
+        lines = pair.value.split("\n")
+        if token_like(pair.value) or (len(lines) > 1 and all(len(x) >= 16 for x in lines[:-1]) and token_like("".join(lines))):
+            return kind
+    return None
+
+
+def _from_pairs(text: str, suffix: str | None) -> Iterator[Span]:
+    for pair in p1_formats.pairs(text, suffix):
+        if pair.start < pair.end and (kind := _pair_kind(pair)):
+            inner = tuple((m.start() + pair.start, m.end() + pair.start) for m in re.finditer(r"[^\s\\]+", text[pair.start : pair.end])) if "\n" in text[pair.start : pair.end] else ()
+            yield Span(pair.start, pair.end, kind, ".".join(pair.names), inner)
+
+
+#: A key may be written with escapes or entities, so that its words can't be seen.
+_ESCAPED = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#")
+
+
+def spans(text: str | None, suffix: str | None = None, cut: bool = False) -> list[Span]:
+    """All credentials of ``text`` by offset, none inside another; ``cut`` tells that the text was cut at its end."""
     if not text:
         return []
     found: list[Span] = list(_private_keys(text)) if "PRIVATE KEY" in text else []
     keys = [(s.start, s.end) for s in found]
     above: _Parents | None = None
-    done = -1
+    done, parsed = -1, False
     for t in _TRIGGER.finditer(text):
+        if not parsed:
+            found += _from_pairs(text, suffix)
+            parsed = True
         if t.start() < done:
             continue
         start = text.rfind("\n", 0, t.start()) + 1
@@ -324,68 +399,92 @@ def spans(text: str | None, cut_at: int | None = None) -> list[Span]:
         line = text[start:done].rstrip("\r")
         if any(a <= start < b for a, b in keys):
             continue
+        found += _literals(text, start, done)
         hits = list(_line_spans(line, ""))
         if not hits:
             continue
         above = above or _Parents(text)
         parents = above.of(text.count("\n", 0, start))
         found += [Span(start + h.start, start + h.end, h.kind, parents + h.path) for h in hits]
-    limit = len(text) if cut_at is not None and len(text) >= cut_at else None
+    if not parsed and _ESCAPED.search(text):
+        found += _from_pairs(text, suffix)
     kept: list[Span] = []
-    for s in sorted(found, key=lambda s: (s.start, -s.end)):
-        if s.end == limit or any(a < s.end and s.start < b for a, b, *_ in kept[-3:]):
+    for s in sorted(found, key=lambda s: (s.start, -s.end)):  # stable: of equal spans the one with the parsed path
+        if (cut and s.end == len(text)) or (kept and s.start < kept[-1].end):
             continue
         kept.append(s)
     return kept
 
 
+_KEY_BODY = re.compile(rb"\\[nr]|[A-Za-z0-9+/=]")
+
+
+def _mask(raw: bytes, kind: str) -> bytes:
+    """One star for each character; of a private key its lines, line ends and marks stay."""
+    if kind == "private key":
+        head = raw.index(b"-----", 5) + 5
+        return raw[:head] + _KEY_BODY.sub(lambda m: m.group() if m.group()[:1] == b"\\" else b"*", raw[head:])
+    return b"*" * len(raw.decode("utf-8", "surrogatepass"))
+
+
+def byte_offsets(text: str, offsets: list[int]) -> list[int]:
+    """Offsets in the UTF-8 bytes of ``text`` of ascending offsets of characters, in one pass."""
+    if text.isascii():
+        return offsets
+    out, at, byte = [], 0, 0
+    for o in offsets:
+        byte += len(text[at:o].encode("utf-8", "surrogatepass"))
+        at = o
+        out.append(byte)
+    return out
+
+
 def masked(text: str, found: list[Span]) -> str:
-    """``text`` with the characters of each span masked; line ends, escapes and the marks around a key stay."""
+    """``text`` with each span spliced out of its bytes; line ends, escapes and the marks around a value stay."""
+    raw = text.encode("utf-8", "surrogatepass")
+    pieces = [(a, b, s.kind) for s in found for a, b in (s.parts or ((s.start, s.end),))]
+    places = byte_offsets(text, [o for a, b, _ in pieces for o in (a, b)])
     out, at = [], 0
-    for s in found:
-        out.append(text[at : s.start])
-        piece = text[s.start : s.end]
-        if s.kind == "private key":
-            head = piece.index("-----", 5) + 5
-            body = re.sub(r"\\[nr]|[A-Za-z0-9+/=]", lambda m: m.group() if m.group()[0] == "\\" else "*", piece[head:])
-            out.append(piece[:head] + body)
-        elif s.kind == "joined":
-            out.append(re.sub(r"(?<=[\"'])[^\"']*$|^[^\"']*(?=[\"'])", lambda m: "*" * len(m.group()), piece))
-        else:
-            out.append("*" * len(piece))
-        at = s.end
-    return "".join([*out, text[at:]])
+    for k, (_, _, kind) in enumerate(pieces):
+        a, b = places[2 * k], places[2 * k + 1]
+        out += [raw[at:a], _mask(raw[a:b], kind)]
+        at = b
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 FINDINGS = "request_id bigint, field_name string, line_no int, start_byte int, end_byte int, kind string, key_path string"
 REDACTED = "request_id bigint, field_name string, n_credentials int, redacted string"
 
 
-def _by_field(full: str | None, document: str | None, selected: str | None, cut_at: int) -> Iterator[tuple[str, str, list[Span]]]:
-    whole = spans(full)
-    if full:
-        yield FIELDS[0], full, whole
-    if document:
-        prefix = full is not None and full.startswith(document)
-        end = len(document) if prefix and len(document) < len(full or "") else len(document) + 1
-        yield FIELDS[1], document, [s for s in whole if s.end < end and not (s.kind == "private key" and s.end + 20 > end)] if prefix else spans(document, cut_at)
-    if selected:
-        yield FIELDS[2], selected, spans(selected)
+def _by_field(path: str | None, full: str | None, document: str | None, selected: str | None, cut_at: int) -> Iterator[tuple[str, str, list[Span]]]:
+    name = (path or "").replace("\\", "/").rsplit("/", 1)[-1]
+    suffix = name.rsplit(".", 1)[-1].lower() if "." in name else None
+    known: dict[str, list[Span]] = {}
+    for field, text in zip(FIELDS, (full, document, selected)):
+        if not text:
+            continue
+        if field == FIELDS[1] and text != full and (len(text) == cut_at or (full and full.startswith(text))):
+            yield field, text, spans(text, suffix, cut=True)
+        else:
+            if text not in known:
+                known[text] = spans(text, suffix)
+            yield field, text, known[text]
 
 
 def _source(requests: DataFrame) -> DataFrame:
-    return requests.select(F.col("request_id").cast("bigint").alias("request_id"), *[F.col(f).cast("string").alias(f) for f in FIELDS])
+    path = F.col("active_file").cast("string") if "active_file" in requests.columns else F.lit(None).cast("string")
+    return requests.select(F.col("request_id").cast("bigint").alias("request_id"), path.alias("path"), *[F.col(f).cast("string").alias(f) for f in FIELDS])
 
 
 def findings(requests: DataFrame, cut_at: int = CUT_AT) -> DataFrame:
     """One row for each credential: field, line, byte offsets in the UTF-8 text, kind and key path."""
 
-    def run(ids: list, full: list, document: list, selected: list) -> Iterator[tuple]:
-        for i, *texts in zip(ids, full, document, selected):
+    def run(ids: list, paths: list, full: list, document: list, selected: list) -> Iterator[tuple]:
+        for i, *texts in zip(ids, paths, full, document, selected):
             for field, text, found in _by_field(*texts, cut_at):
-                for s in found:
-                    a = len(text[: s.start].encode("utf-8", "surrogatepass"))
-                    yield i, field, text.count("\n", 0, s.start) + 1, a, a + len(text[s.start : s.end].encode("utf-8", "surrogatepass")), s.kind, s.path
+                places = byte_offsets(text, [o for s in found for o in (s.start, s.end)])
+                for k, s in enumerate(found):
+                    yield i, field, text.count("\n", 0, s.start) + 1, places[2 * k], places[2 * k + 1], s.kind, s.path
 
     return rows_by_batch(_source(requests), FINDINGS, run).dropDuplicates(["request_id", "field_name", "start_byte"])
 
@@ -393,8 +492,8 @@ def findings(requests: DataFrame, cut_at: int = CUT_AT) -> DataFrame:
 def redacted(requests: DataFrame, cut_at: int = CUT_AT) -> DataFrame:
     """Every field that holds a credential, with only the credentials masked."""
 
-    def run(ids: list, full: list, document: list, selected: list) -> Iterator[tuple]:
-        for i, *texts in zip(ids, full, document, selected):
+    def run(ids: list, paths: list, full: list, document: list, selected: list) -> Iterator[tuple]:
+        for i, *texts in zip(ids, paths, full, document, selected):
             for field, text, found in _by_field(*texts, cut_at):
                 if found:
                     yield i, field, len(found), masked(text, found)
