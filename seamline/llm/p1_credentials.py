@@ -20,9 +20,11 @@ import base64
 import binascii
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log2
 from typing import NamedTuple
 
+import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,12 +168,50 @@ _TRIGGER = re.compile(
     rf"|log_in|sign_?in|connect\(|\b(?:mysql|docker|psql|curl)|insert{_S}+into{_S}+\w*(?:client|user)|echo{_S}[^\n]*\|{_S}*su"
     rf"|(?:用户|cuenta|conta|user){_S}*[:：]?{_S}*[`\"']?[\w.\-@]+[`\"']?{_S}*[/／,，:]{_S}*[`\"']?[!-~]{{6}})"
     rf"|\b(?:redis-cli|mongo\w*|smbclient|7z|zip)\b[^\n|]*?{_S}-[paP]|(?<!\S)(?:-u|--user)(?:=|{_S})*[\"']?[\w.\-@]+:"
-    r"|[\w+/=.\-]{2}[\"']\s*\+\s*[\"'][\w+/=.\-]{2}"
     r"|://[^\s/@]*:[^\s/@]+@|密码|口令|密钥|令牌|秘钥|凭据|账号|账户|帐号"
     r"|AKIA|ASIA|gh[pousr]_|github_pat|glpat|[sr]k_live|\bsk_test|sk-|xox|AIza|SG\.|npm_|hf_|ya29|eyJ|pypi-|dop_v1"
 )
 
 
+#: Words of which every line that ``_TRIGGER`` lets through holds one, in small letters.
+_WORDS_OF_TRIGGER = (
+    "pass pwd secret token key cred auth bearer basic identified login kennwort senha contrase account konto compte log_in signin sign_in connect( mysql docker psql curl insert echo 用户 cuenta conta user redis-cli mongo smbclient 7z zip"
+    " -u :// 密码 口令 密钥 令牌 秘钥 凭据 账号 账户 帐号 akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat sk_live rk_live sk_test sk- xox aiza sg. npm_ hf_ ya29 eyj pypi- dop_v1"
+).split()
+
+
+@lru_cache(maxsize=1)
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in _WORDS_OF_TRIGGER:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
+
+
+def _lines_to_read(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines with a trigger, and of those where a literal goes on behind a plus."""
+    low = text.lower()
+    if len(low) == len(text):
+        places = [end - n + 1 for end, n in _automaton().iter(low)]
+    else:  # a letter has no small form of its own length
+        places = [m.start() for m in _TRIGGER.finditer(text)]
+    sure = [m.start() for m in _CHAIN_START.finditer(text)] if "+" in text else []
+    out, done = set(), -1
+    for at in places:
+        if at < done:
+            continue
+        start = text.rfind("\n", 0, at) + 1
+        done = text.find("\n", at)
+        done = len(text) if done < 0 else done
+        if _TRIGGER.search(text, start, done):
+            out.add((start, done))
+    for at in sure:
+        end = text.find("\n", at)
+        out.add((text.rfind("\n", 0, at) + 1, len(text) if end < 0 else end))
+    return sorted(out)
+
+
 def _value(m: re.Match) -> tuple[str, int, int]:
     for g in ("dq", "sq", "bq", "bare"):
         if m.group(g) is not None:
@@ -307,8 +347,10 @@ def _private_keys(text: str) -> Iterator[Span]:
 
 _TOKEN_PIECE = r"[rRbBuUfF]{0,2}(?:\"\"\"(?P<a>[\s\S]*?)\"\"\"|'''(?P<b>[\s\S]*?)'''|\"(?P<c>(?:[^\"\\\n]|\\.)*)\"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`)"
 _PIECE = re.compile(_TOKEN_PIECE)
-_TARGET = re.compile(r"""(?P<name>["'`]?[A-Za-z_$一-鿿][\w$.\-]*(?:\[["'][\w.\-]+["']\])?["'`]?)\s*(?::\s*[A-Za-z][\w.\[\]| ]*?\s*=|[:=](?![=>])|：)\s*(?P<paren>\()?\s*(?=[rRbBuUfF]{0,2}["'`])""")
+_TARGET = re.compile(r"""(?P<name>["'`]?[A-Za-z_$一-鿿][\w$.\-]*(?:\[["'][\w.\-]+["']\])?["'`]?)\s*(?::\s*[A-Za-z][\w.\[\]| ]*?\s*=|[:=](?![=>])|：)""")
+_OPENED = re.compile(r"""\s*(?P<paren>\()?\s*(?=[rRbBuUfF]{0,2}["'`])""")
 _PLUS, _SPACE = re.compile(r"\s*(?:\+|\.\.?(?=\s*[\"'])|\\\r?\n)\s*"), re.compile(r"\s+")
+_PLUS_BEHIND = re.compile(r"""["'`](?=\s*(?:\+|$))""")
 _CHAIN_START = re.compile(r"""["'`]\s*\+\s*["'`]""")
 
 
@@ -326,10 +368,11 @@ def _chain(text: str, at: int, paren: bool) -> list[tuple[int, int]]:
 
 def _literals(text: str, begin: int, end: int) -> Iterator[Span]:
     """Credentials in literals of several lines or pieces whose expression begins in ``text[begin:end]``."""
-    for m in _TARGET.finditer(text, begin, len(text)):
-        if m.start() >= end:
-            break
-        parts = _chain(text, m.end(), m.group("paren") is not None)
+    for m in _TARGET.finditer(text, begin, end):
+        opened = _OPENED.match(text, m.end())
+        if opened is None:
+            continue
+        parts = _chain(text, opened.end(), opened.group("paren") is not None)
         if not parts or (len(parts) == 1 and "\n" not in text[m.start("name") : parts[0][1]]):
             continue
         name = _unquote(m.group("name"))
@@ -337,9 +380,9 @@ def _literals(text: str, begin: int, end: int) -> Iterator[Span]:
         value = "".join(text[a:b] for a, b in parts)
         if TOKEN.fullmatch(value) or _accept(name, value, True):
             yield Span(parts[0][0], parts[-1][1], "joined", name, tuple(parts))
-    for m in _CHAIN_START.finditer(text, begin):  # a token in pieces under any name
-        if m.start() >= end:
-            break
+    for m in _PLUS_BEHIND.finditer(text, begin, end):  # a token in pieces under any name
+        if not _CHAIN_START.match(text, m.start()):
+            continue
         first = max(text.rfind(q, begin, m.start()) for q in "\"'`")
         parts = _chain(text, first, False) if first >= begin else []
         if len(parts) > 1 and TOKEN.fullmatch("".join(text[a:b] for a, b in parts)):
@@ -386,16 +429,10 @@ def spans(text: str | None, suffix: str | None = None, cut: bool = False) -> lis
     found: list[Span] = list(_private_keys(text)) if "PRIVATE KEY" in text else []
     keys = [(s.start, s.end) for s in found]
     above: _Parents | None = None
-    done, parsed = -1, False
-    for t in _TRIGGER.finditer(text):
-        if not parsed:
-            found += _from_pairs(text, suffix)
-            parsed = True
-        if t.start() < done:
-            continue
-        start = text.rfind("\n", 0, t.start()) + 1
-        done = text.find("\n", t.start())
-        done = len(text) if done < 0 else done
+    lines = _lines_to_read(text)
+    if lines or _ESCAPED.search(text):
+        found += _from_pairs(text, suffix)
+    for start, done in lines:
         line = text[start:done].rstrip("\r")
         if any(a <= start < b for a, b in keys):
             continue
@@ -406,8 +443,6 @@ def spans(text: str | None, suffix: str | None = None, cut: bool = False) -> lis
         above = above or _Parents(text)
         parents = above.of(text.count("\n", 0, start))
         found += [Span(start + h.start, start + h.end, h.kind, parents + h.path) for h in hits]
-    if not parsed and _ESCAPED.search(text):
-        found += _from_pairs(text, suffix)
     kept: list[Span] = []
     for s in sorted(found, key=lambda s: (s.start, -s.end)):  # stable: of equal spans the one with the parsed path
         if (cut and s.end == len(text)) or (kept and s.start < kept[-1].end):

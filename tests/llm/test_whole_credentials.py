@@ -73,3 +73,13 @@ def test_damaged_formats_end(text):
     for suffix in (None, "json", "yaml", "toml", "xml"):
         p1.spans("password: x\n" + text, suffix)
         list(p1.p1_formats.pairs(text, suffix))
+
+
+def test_lines_that_are_not_read_hold_nothing(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/gen_requests.parquet").select("full_document_text", "selected_text").collect()
+    texts = {t for r in rows for t in r if t} | set(LINES) | {t for t, *_ in PAIRS}
+    for text in texts:
+        read = {text.count("\n", 0, a) for a, _ in p1._lines_to_read(text)}
+        for k, line in enumerate(text.split("\n")):
+            if k not in read:
+                assert not p1._TRIGGER.search(line) and not list(p1._line_spans(line, "")) and not list(p1._literals(line, 0, len(line)))
