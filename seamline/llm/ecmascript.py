@@ -1480,8 +1480,6 @@ def check(text: str, typescript: bool) -> int | None:
         _Parser(kinds, breaks, typescript).program()
     except Invalid as e:
         return at[min(e.args[0], len(at) - 1)]
-    except RecursionError:
-        return None
     return None
 
 
@@ -1496,6 +1494,4 @@ def ends_open(text: str, typescript: bool) -> bool:
         parser.program()
     except (Invalid, IndexError):
         return parser.ended
-    except RecursionError:
-        return False
     return False

@@ -9,10 +9,9 @@ stands inside a word, sentence, statement or structure), 'open' (it may be compl
 is a cut where the self-join finds the longer copy.  Every other value is a probe too: an end that reads as
 complete, and a short open one, is a cut where the longer copy goes on inside its last word, sentence or statement.
 
-Cost: one map over both tables for the ends, one shuffle of the distinct texts for the sort.  The sort is a
-sample sort of our own: boundaries are taken from a sample of bounded size, exact copies are merged before
-(on the map side first), and a text that is a probe itself is one row of the sort, so a group of equal texts or
-of texts with a common beginning costs no more than any others.
+Cost: one map over both tables for the ends, one shuffle of the texts for the sort, in which each task sends a text
+once.  The sort is a sample sort of our own: boundaries come from a sample of bounded size, one part is one task, and
+a text that is a probe itself is one row of the sort.
 
 Defined cases: null, blank and placeholder texts are never cut.  Redelivered rows are reported once.
 """
@@ -22,10 +21,11 @@ from __future__ import annotations
 import ast
 import json
 import re
-import tomllib
 import warnings
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,7 +35,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from . import ecmascript
 from .common import cut, rows_by_batch
-from .p5_syntax import LANGUAGES, PARSERS, language
+from .p5_syntax import LANGUAGES, PARSERS, deeply, language
 
 #: A mark that a transfer leaves after a cut.
 MARK = re.compile(
@@ -263,11 +263,7 @@ def _json_ends_open(text: str) -> bool:
 
 def _toml_ends_open(text: str) -> bool:
     def ok(t: str) -> bool:
-        try:
-            tomllib.loads(t)
-            return True
-        except (tomllib.TOMLDecodeError, RecursionError):
-            return False
+        return PARSERS["toml"](t) is None
 
     if not text.endswith("\n"):
         kept = text.rsplit("\n", 1)[0] + "\n" if "\n" in text else ""
@@ -299,7 +295,11 @@ def code_end(text: str, lang: str) -> str | None:
         return None  # the outermost structure was ended: what is wrong stands further up
     if lang == "json":
         return CUT if _json_ends_open(text) else None
-    return CUT if ecmascript.ends_open(text, lang == "typescript") else None
+    try:
+        opened = ecmascript.ends_open(text, lang == "typescript")
+    except RecursionError:
+        opened = deeply(lambda t: ecmascript.ends_open(t, lang == "typescript"), text)
+    return CUT if opened else None
 
 
 # --- prose -------------------------------------------------------------------------------------------------
@@ -519,87 +519,132 @@ def _mode() -> Column:
     return mode
 
 
-#: Texts that the boundaries of the sort are taken from, and the characters of each that are kept.
-SAMPLE, BOUNDARY_CHARS = 4000, 256
-#: Bytes of text that one partition of the sort is meant to hold.
-PARTITION_BYTES = 16 << 20
-_TOP = "\U0010ffff"
+#: Bytes of text that one part of the sort is meant to hold, and the most parts; beyond these, parts grow with the data.
+PARTITION_BYTES, MOST_PARTS = 8 << 20, 32_768
+#: Distinct texts sampled for each boundary, and the characters of each that are read (fewer where there are many).
+SAMPLED, BOUNDARY_CHARS = 8, 2048
 #: An open end shorter than this is not decided by any longer text, as short answers begin many, but by how it goes on.
 LEAST_PROBE = 20
 
 
-def prefixes(probes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``key`` of each probe whose ``base`` is a strict prefix of one of ``texts.value``.
+def own_key(group: Column | int, value: str, mode: Column) -> Column:
+    """The key that ``prefixes`` gives a text that is a probe itself."""
+    return F.format_string("%d=%s/%d", F.lit(group) if isinstance(group, int) else group, F.md5(value), mode)
+
+
+def probe_key(group: Column | int, base: str, mode: Column) -> Column:
+    """The key that ``prefixes`` gives a probe."""
+    return F.format_string("%d~%s/%d", F.lit(group) if isinstance(group, int) else group, F.md5(base), mode)
 
-    What follows the base there must be more than a mark of a cut.  A probe with a ``mode`` other than 0 is found
-    only if a longer text goes on inside its last word, sentence or statement (``goes_on_inside``).  If ``texts``
-    have a ``mode`` (bits of ``MODES``), each of them is such a probe itself, in each of its modes, with the key
-    '=digest/mode'.
 
-    Equal texts are merged; the texts are put into order by boundaries from a bounded sample; a probe goes to the
-    partition of its place and to that of the last text that can begin with it, which between them hold its
-    successor unless boundaries begin with it themselves; one with a mode goes to those in between as well.
+def _boundaries(texts: DataFrame) -> list[tuple[int, str]]:
+    """Boundaries of parts of about equal numbers of bytes, each no longer than it has to be to part its neighbours.
+
+    The sample is drawn by the hash of a text, so copies count once, and only its bounded beginnings come to the driver.
     """
-    own, aimed = "mode" in texts.columns, "mode" in probes.columns
-    digest = F.md5("value")
-    pool = texts.groupBy(digest.alias("digest")).agg(F.first("value").alias("value"), (F.bit_or("mode") if own else F.first(F.lit(0))).cast("int").alias("mode")).select("value", "mode")
     sizes = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes")).first()
-    if not sizes["n"]:
-        return probes.select("key").where("false")
-    sample = [r[0] for r in texts.select(F.substring("value", 1, BOUNDARY_CHARS)).sample(min(1.0, SAMPLE / sizes["n"]), seed=7).limit(2 * SAMPLE).collect()]
-    n = int(max(1, min(1000, sizes["bytes"] // PARTITION_BYTES)))
-    ordered = sorted(set(sample), key=lambda t: t.encode("utf-8", "surrogatepass"))
-    bounds = sorted({ordered[len(ordered) * k // n] for k in range(1, n)}, key=lambda t: t.encode("utf-8", "surrogatepass")) if ordered else []
-    border = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-    place = lambda c: F.size(F.filter(border, lambda b: b <= c))
-    last = lambda c: place(F.concat(c, F.lit(_TOP)))
-    between = F.exists(border, lambda b: F.startswith(b, F.col("base")) & (F.length(b) > F.length("base") + 24))
-    mode = F.col("mode").cast("int") if aimed else F.lit(0)
-    parts = F.when(mode == 0, F.array_distinct(F.array(place(F.col("base")), last(F.col("base"))))).otherwise(F.sequence(place(F.col("base")), last(F.col("base"))))
-    placed = probes.select("key", "base", mode.alias("mode"), F.explode(parts).alias("part"), (between & (mode == 0)).alias("sure"))
-    here = place(F.col("value"))
-    # a text is a probe where it lies; only one that texts of further partitions may begin with goes there as well
-    both = pool.select(here.alias("part"), "value", F.lit(None).cast("string").alias("key"), "mode").unionAll(placed.where("not sure").select("part", F.col("base").alias("value"), "key", "mode"))
-    if own and bounds:
-        ahead = F.exists(border, lambda b: F.startswith(b, F.col("value")) & (b > F.col("value")))
-        both = both.unionAll(pool.where((F.col("mode") != 0) & ahead).select(F.explode(F.sequence(here + 1, last(F.col("value")))).alias("part"), "value", F.lit("=").alias("key"), "mode"))
+    n = int(max(1, min(MOST_PARTS, (sizes["bytes"] or 0) // PARTITION_BYTES)))
+    if n == 1:
+        return []
+    every, chars = max(1, sizes["n"] // (SAMPLED * max(n, 512))), BOUNDARY_CHARS if n <= 4096 else BOUNDARY_CHARS // 4
+    drawn = texts.where(F.pmod(F.xxhash64("value"), F.lit(every)) == 0).select("group", F.substring("value", 1, chars).alias("v")).distinct().limit(4 * SAMPLED * max(n, 512))
+    ordered = sorted((r["group"], r["v"]) for r in drawn.collect())
+    out = []
+    for k in range(1, n):
+        at = len(ordered) * k // n
+        if 0 < at:
+            (g, a), (h, b) = ordered[at - 1], ordered[at]
+            common = 0
+            while g == h and common < min(len(a), len(b)) and a[common] == b[common]:
+                common += 1
+            out.append((h, b[: common + 1]))
+    return sorted(set(out))
+
+
+def prefixes(probes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``key`` of each probe (base, mode, group) that is a strict prefix of one of ``texts`` (value, mode, group).
+
+    What follows the base there must be more than a mark of a cut.  A probe with a ``mode`` other than 0 is found
+    only if a longer text goes on inside its last word, sentence or statement (``goes_on_inside``).  A text with a
+    ``mode`` (bits of ``MODES``) is such a probe itself, in each of its modes.  Texts of different groups don't meet.
+    Keys are those of ``own_key`` and ``probe_key``, one a distinct text.
+
+    One shuffle: each task drops the texts it has sent before, so a text that many rows hold goes to its part once a
+    task; parts are cut by boundaries from a bounded sample and each is one task.  A probe goes to all parts whose
+    boundaries begin with it, so it meets all texts that do.  In a part the texts are sorted, and one pass keeps the
+    probes that the text at hand begins with on a stack.
+    """
+    bounds = _boundaries(texts)
+    n = len(bounds) + 1
+    placed = _parse_datatype_string("part int, group int, value string, key boolean, mode int")
+    placed_arrow = to_arrow_schema(placed)
+
+    def place(own: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent: dict[bytes, int] = {}
+            for batch in batches:
+                rows = []
+                for value, mode, group in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    digest = md5(f"{group}\n{value}".encode("utf-8", "surrogatepass")).digest()
+                    before = sent.get(digest)
+                    if before is not None and (mode | before == before if own else mode == before):
+                        continue
+                    sent[digest] = (before or 0) | mode if own else mode
+                    first = bisect_right(bounds, (group, value))
+                    last = bisect_right(bounds, (group, value + "\U0010ffff")) if mode or not own else first
+                    rows.append((first, group, value, None if own else False, mode))
+                    # a text goes to further parts only as the probe that it is
+                    rows += [(p, group, value, own, mode) for p in range(first + 1, last + 1)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), placed_arrow)], schema=placed_arrow)
+
+        return run
+
+    columns = ("mode", "group")
+    values = texts.select("value", *[F.col(c).cast("int").alias(c) for c in columns]).mapInArrow(place(True), placed)
+    asked = probes.select(F.col("base").alias("value"), *[F.col(c).cast("int").alias(c) for c in columns]).mapInArrow(place(False), placed)
     schema = _parse_datatype_string("key string")
     out = to_arrow_schema(schema)
 
+    def name(base: str, own: bool, group: int, mode: int) -> str:
+        return f"{group}{'=' if own else '~'}{md5(base.encode('utf-8', 'surrogatepass')).hexdigest()}/{mode}"
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_probes: list[tuple[str, str, int]] = []
-        part = None
+        # base, is it a text itself, modes still wanted (0: any longer text); all of one group
+        open_probes: list[tuple[str, bool, int]] = []
+        now, seen = None, None
         for batch in batches:
             hits: list[str] = []
-            for p, value, key, mode in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if p != part:
-                    part, open_probes = p, []
+            for group, value, key, mode in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                if group != now:
+                    now, open_probes, seen = group, [], None
                 while open_probes and not value.startswith(open_probes[-1][0]):
                     open_probes.pop()
-                if key is None and open_probes:
-                    kept = []
-                    for base, k, wanted in open_probes:
+                if key is None and value != seen:
+                    seen, kept = value, []
+                    for base, own, wanted in open_probes:
                         if wanted:
                             for bit in (b for b in MODES.values() if wanted & b):
                                 if goes_on_inside(base, value, bit):
-                                    hits.append(f"={md5(base.encode('utf-8', 'surrogatepass')).hexdigest()}/{bit}" if k == "=" else k)
+                                    hits.append(name(base, own, group, bit))
                                     wanted &= ~bit
                             if wanted:
-                                kept.append((base, k, wanted))
+                                kept.append((base, own, wanted))
                         elif len(value) > len(base) and not MARK.fullmatch(value, len(base)):
-                            hits.append(k)
+                            hits.append(name(base, own, group, 0))
                         else:
-                            kept.append((base, k, wanted))
+                            kept.append((base, own, wanted))
                     open_probes = kept
-                if key is not None:
-                    open_probes.append((value, key, mode))
-                elif mode:
-                    open_probes.append((value, "=", mode))
+                own = key is not False
+                if mode or not own:
+                    equal = takewhile(lambda p: len(p[0]) == len(value), reversed(open_probes))
+                    if (value, own, mode) not in equal:
+                        open_probes.append((value, own, mode))
             if hits:
                 yield pa.RecordBatch.from_arrays([pa.array(hits, type=out.field(0).type)], schema=out)
 
-    found = both.repartition(n, "part").sortWithinPartitions("part", "value").mapInArrow(walk, schema)
-    return found.unionAll(placed.where("sure").select("key")).distinct()
+    both = values.unionAll(asked).repartitionById(n, F.col("part")).sortWithinPartitions("group", "value")
+    return both.mapInArrow(walk, schema).distinct()
 
 
 TRUNCATED = "record_type string, record_id bigint, source string, marked boolean, evidence string"
@@ -608,15 +653,15 @@ TRUNCATED = "record_type string, record_id bigint, source string, marked boolean
 def truncated(responses: DataFrame, actions: DataFrame) -> DataFrame:
     """One row for each cut record: whether a mark follows the cut, and what shows it."""
     seen = cut(ends(responses, actions).dropDuplicates(["record_type", "record_id"]))  # read by the probes and by the join
-    record = F.concat_ws(":", "record_type", F.col("record_id").cast("string"))
     # a cut or long open end with any longer text, a complete one before a mark by how the text goes on
     aimed = F.when(F.col("how") == COMPLETE, MODES[None]).otherwise(0)
-    probes = seen.select(record.alias("key"), "base", aimed.alias("mode")).where((F.col("how").isin(CUT, COMPLETE)) & (F.col("base") != "") | (F.length("base") >= LEAST_PROBE))
+    asks = (F.col("how").isin(CUT, COMPLETE)) & (F.col("base") != "") | (F.length("base") >= LEAST_PROBE)
+    one = F.lit(0).alias("group")
     values = _values(responses, actions).where("value <> ''")
-    originals = actions.select(F.col("original_content").cast("string").alias("value"), F.lit(0).alias("mode")).where("original_content is not null and original_content <> ''")
-    longer = cut(prefixes(probes, values.select("value", _mode().alias("mode")).unionAll(originals)))  # few keys, read by two joins
-    own = values.select("record_type", "record_id", "source", F.format_string("=%s/%d", F.md5("value"), _mode()).alias("own_key")).join(longer.where("key like '=%'"), F.col("own_key") == F.col("key"))
-    joined = seen.join(longer.where("key not like '=%'").select(F.col("key").alias("longer_key")), record == F.col("longer_key"), "left")
+    originals = actions.select(F.col("original_content").cast("string").alias("value"), F.lit(0).alias("mode"), one).where("original_content is not null and original_content <> ''")
+    longer = cut(prefixes(seen.where(asks).select("base", aimed.alias("mode"), one), values.select("value", _mode().alias("mode"), one).unionAll(originals)))  # few keys, read by two joins
+    own = values.select("record_type", "record_id", "source", own_key(0, "value", _mode()).alias("own_key")).join(longer.where("key like '%=%'"), F.col("own_key") == F.col("key"))
+    joined = seen.join(longer.where("key like '%~%'").select(F.col("key").alias("longer_key")), probe_key(0, "base", aimed) == F.col("longer_key"), "left")
     copy = F.col("longer_key").isNotNull()
     by_end = joined.where((F.col("how") == CUT) | copy).select(
         "record_type", "record_id", "source", "marked", F.when(copy & (F.col("how") == CUT), "longer copy and end").when(copy, "longer copy").otherwise("end").alias("evidence")

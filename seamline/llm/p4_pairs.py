@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import md5
 from math import exp, log
 
 from pyspark.sql import DataFrame
@@ -26,14 +27,15 @@ from . import p3_truncation as p3
 from .common import cut, rows_by_batch
 
 DEFECTS = ("empty_answer", "copies_question", "refusal", "truncated_answer", "wrong_language")
-#: Posterior beyond which a defect is kept; chosen on planted defects (tests/llm/test_pairs.py).
-CUTOFFS = {"empty_answer": 0.8, "copies_question": 0.8, "refusal": 0.8, "truncated_answer": 0.8, "wrong_language": 0.8}
+#: Posterior beyond which a defect is kept: chosen on one half of planted pairs and checked on the other
+#: (tests/llm/test_pairs_cutoffs.py).
+CUTOFFS = {"empty_answer": 0.8, "copies_question": 0.6, "refusal": 0.8, "truncated_answer": 0.5, "wrong_language": 0.8}
 #: Votes of each defect, in the order of the functions below.
 FUNCTIONS = {
     "empty_answer": ("blank", "nothing_but_marks", "stands_for_nothing", "has_words"),
     "copies_question": ("little_left", "same_grams", "same_length", "own_words"),
-    "refusal": ("phrase", "no_other_sentence", "short", "tells_something"),
-    "truncated_answer": ("ends_inside", "marked", "longer_copy", "proper_stop"),
+    "refusal": ("phrase", "no_other_sentence", "mostly_refusal", "tells_something"),
+    "truncated_answer": ("ends_inside", "marked", "longer_copy", "last_character"),
     "wrong_language": ("by_script", "by_stopwords", "by_majority"),
 }
 
@@ -117,8 +119,11 @@ def _empty(text: str | None) -> tuple[int, ...]:
 
 def _copies(prompt: str | None, text: str) -> tuple[int, ...]:
     q, t = _normal(prompt or ""), _normal(text)
-    if len(q) < 8 or not t:
+    if not q or not t:
         return 0, 0, 0, 0
+    if len(q) < 8:  # too short for grams: nothing but the prompt itself copies it
+        same = 1 if t == q else -1
+        return same, same, 1 if len(t) == len(q) else -1, same
     left = t.replace(q, "")
     lead = len(left) <= 24
     grams = {q[i : i + 5] for i in range(len(q) - 4)}
@@ -155,19 +160,25 @@ def _refusal(text: str) -> tuple[int, ...]:
     cannot = [bool(_CANNOT.search(s)) for s in sentences]
     rest = [s for s, c in zip(sentences, cannot) if not c and not _POLITE.search(s)]
     told = sum(len(_normal(s)) for s in rest)
+    share = 1 - told / max(1, sum(len(_normal(s)) for s in sentences))
     names = len(re.findall(r"`[^`\n]+`|\w+/\w+|```", body))
     return (
         1 if any(cannot[:2]) else 0 if any(cannot) else -1,
         1 if any(cannot) and not rest else -1 if told > 40 else 0,
-        (1 if any(cannot) else 0) if len(body) < 320 else -1,
+        (1 if share >= 0.5 else -1 if share < 0.2 else 0) if any(cannot) else -1,
         -1 if names and rest else 1 if any(cannot) and not names else 0,
     )
 
 
+#: Last characters that complete answers have, and those that none has; a letter may be either.
+_CLOSED, _HANGING = re.compile(r"[.!?。！？…`>|}\]][\"”’»“」』*_)）]*\s*\Z"), re.compile(r"[,，、;；(\[{（„«/\\=+\-]\s*\Z")
+
+
 def _truncated(text: str) -> tuple[tuple[int, ...], str]:
+    """Votes by the structure of the end, by a mark behind it, by longer copies (put in later) and by the last character."""
     how, base, marked = p3.end_of(text)
-    stop = bool(p3._STOP.search(base)) or bool(p3._NOTHING.match(text))
-    return (1 if how == p3.CUT else 0 if how == p3.OPEN else -1, 1 if marked else 0, 0, -1 if stop and how == p3.COMPLETE else 1 if how == p3.CUT and not stop else 0), base if how == p3.OPEN else ""
+    last = -1 if _CLOSED.search(text) else 1 if _HANGING.search(text) else 0
+    return (1 if how == p3.CUT else 0 if how == p3.OPEN else -1, 1 if marked else 0, 0, last), base if how == p3.OPEN else ""
 
 
 def _language(prompt: str | None, text: str) -> tuple[int, ...]:
@@ -185,11 +196,11 @@ def _language(prompt: str | None, text: str) -> tuple[int, ...]:
     return by_script, by_words, majority
 
 
-VOTES = "response_id bigint, field_name string, probe string, " + ", ".join(f"{d} array<tinyint>" for d in DEFECTS)
+VOTES = "response_id bigint, field_name string, digest string, probe string, " + ", ".join(f"{d} array<tinyint>" for d in DEFECTS)
 
 
 def votes(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """The votes on every answer; ``probe`` is its text where only a longer copy can tell whether it was cut."""
+    """The votes on every answer; ``probe`` is its text where any longer copy tells that it was cut."""
 
     def run(ids: list, prompts: list, contents: list, counts: list, summaries: list) -> Iterator[tuple]:
         for i, prompt, content, count, summary in zip(ids, prompts, contents, counts, summaries):
@@ -197,10 +208,10 @@ def votes(requests: DataFrame, responses: DataFrame) -> DataFrame:
                 if field == "content" or (count or 0) > 0:
                     empty, t = _empty(text), text or ""
                     if empty[-1] > 0:
-                        yield i, field, "", empty, (0, 0, 0, -1), (-1, -1, 0, 0), (-1, 0, 0, -1), (0, 0, 0)
+                        yield i, field, "", "", empty, (0, 0, 0, -1), (-1, -1, 0, 0), (-1, 0, 0, -1), (0, 0, 0)
                     else:
                         ends, probe = _truncated(t)
-                        yield i, field, probe, empty, _copies(prompt, t), _refusal(t), ends, _language(prompt, t)
+                        yield i, field, md5(t.encode("utf-8", "surrogatepass")).hexdigest(), probe, empty, _copies(prompt, t), _refusal(t), ends, _language(prompt, t)
 
     asked = requests.select(F.col("request_id").cast("bigint").alias("asked_id"), F.col("prompt").cast("string").alias("prompt")).where("asked_id is not null").groupBy("asked_id").agg(F.max("prompt").alias("prompt"))
     # answers without a request get keys of their own, which no request has, so they don't meet in one task
@@ -210,38 +221,48 @@ def votes(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return rows_by_batch(joined, VOTES, run).dropDuplicates(["response_id", "field_name"])
 
 
-#: An open end this short is not decided by a longer copy.
+#: An open end this short is not decided by any longer copy but by how that goes on.
 LEAST_PROBE = {"content": 20, "proposal_summary": 6}
 
 
 def with_copies(seen: DataFrame, responses: DataFrame) -> DataFrame:
-    """``seen`` with the vote of the prefix self-join in place."""
-    key = F.concat_ws(":", "field_name", F.col("response_id").cast("string"))
-    least = F.when(F.col("field_name") == "content", LEAST_PROBE["content"]).otherwise(LEAST_PROBE["proposal_summary"])
-    probes = seen.where((F.length("probe") >= least)).select(key.alias("key"), F.concat(F.col("field_name"), F.lit("\n"), F.col("probe")).alias("base"))
-    # a probe can only begin a text of its own field; the field leads the text for that
-    texts = responses.select(F.explode(F.array(*[F.concat(F.lit(f + "\n"), F.col(f).cast("string")) for f in ("content", "proposal_summary")])).alias("value")).where("value is not null")
-    longer = p3.prefixes(probes, texts).select(F.col("key").alias("longer_key"))
-    copied = F.when(F.col("longer_key").isNotNull(), F.array(F.lit(1), F.col("truncated_answer")[1], F.lit(1), F.lit(1)).cast("array<tinyint>")).otherwise(F.col("truncated_answer"))
-    return seen.join(longer, key == F.col("longer_key"), "left").withColumn("truncated_answer", copied).drop("longer_key", "probe")
+    """``seen`` with the vote of the prefix self-join in place: every answer is a probe among those of its field."""
+    content = F.col("field_name") == "content"
+    group, least = F.when(content, 0).otherwise(1), F.when(content, LEAST_PROBE["content"]).otherwise(LEAST_PROBE["proposal_summary"])
+    probes = seen.where(F.length("probe") >= least).select(F.col("probe").alias("base"), F.lit(0).alias("mode"), group.alias("group"))
+    fields = F.array(*[F.struct(F.lit(k).alias("group"), F.col(f).cast("string").alias("value")) for k, f in enumerate(("content", "proposal_summary"))])
+    texts = responses.select(F.inline(fields)).where("value <> ''").select("value", F.lit(p3.MODES[None]).alias("mode"), "group")
+    longer = cut(p3.prefixes(probes, texts))  # few keys, read by two joins
+    own = longer.where("key like '%=%'").select(F.col("key").alias("own_key"))
+    other = longer.where("key like '%~%'").select(F.col("key").alias("probe_key"))
+    joined = seen.join(own, F.format_string(f"%d=%s/{p3.MODES[None]}", group, "digest") == F.col("own_key"), "left").join(other, p3.probe_key(group, "probe", F.lit(0)) == F.col("probe_key"), "left")
+    vote = F.when(F.col("own_key").isNotNull() | F.col("probe_key").isNotNull(), 1).when(F.col("digest") == "", 0).otherwise(-1).cast("tinyint")
+    v = F.col("truncated_answer")
+    return joined.withColumn("truncated_answer", F.array(v[0], v[1], vote, v[3])).drop("own_key", "probe_key", "probe", "digest")
 
 
 # --- the label model ---------------------------------------------------------------------------------------
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
+#: What a function is taken for at the start, where not for START: P(it votes for the defect | defect), P(.. | none).
+#: That no longer copy exists says little; a grammar is seldom wrong about an end.
+START, STARTS = (0.9, 0.04), {"longer_copy": (0.3, 0.002), "ends_inside": (0.95, 0.005)}
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, names: tuple[str, ...] = ()) -> dict[tuple[int, ...], float]:
     """Posterior of the defect for each vote pattern, by expectation-maximization over their counts.
 
-    Each function has a table P(vote | defect or not, it votes), started at 'right more often than wrong' and
-    smoothed by a pseudo-count of a share of all answers, so that a function that never fires keeps its start.
+    Each function (``names``) has a table P(vote | defect or not, it votes), started as in ``STARTS`` and smoothed by
+    a pseudo-count of a share of all answers, so that a function that never fires keeps its start.
     An abstention says nothing: without any vote the posterior is the frequency of the defect.
     """
     total = sum(n for _, n in patterns)
     if not total:
         return {}
     width = len(patterns[0][0])
-    start = {1: {1: 0.9, -1: 0.1}, 0: {1: 0.04, -1: 0.96}}
-    tables = [{y: dict(start[y]) for y in (0, 1)} for _ in range(width)]
+    begin = [STARTS.get(names[j], START) if names else START for j in range(width)]
+    starts = [{1: {1: a, -1: 1 - a}, 0: {1: b, -1: 1 - b}} for a, b in begin]
+    tables = [{y: dict(start[y]) for y in (0, 1)} for start in starts]
     prior = 0.05
     post: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
@@ -253,7 +274,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[t
         for j in range(width):
             for y in (0, 1):
                 weight = 0.02 * total * (prior if y else 1 - prior) + 1.0
-                sums = {k: weight * start[y][k] for k in (1, -1)}
+                sums = {k: weight * starts[j][y][k] for k in (1, -1)}
                 for v, n in patterns:
                     if v[j]:
                         sums[v[j]] += n * (post[v] if y else 1 - post[v])
@@ -280,7 +301,7 @@ def labels(requests: DataFrame, responses: DataFrame, cutoffs: dict[str, float]
     counts = long.groupBy("defect", "votes").count().collect()  # at most 3 ** functions rows a defect
     rows = []
     for d in DEFECTS:
-        post = fit([(tuple(r["votes"]), r["count"]) for r in counts if r["defect"] == d])
+        post = fit([(tuple(r["votes"]), r["count"]) for r in counts if r["defect"] == d], names=FUNCTIONS[d])
         rows += [(d, list(v), p) for v, p in post.items() if p > cutoffs[d]]
     known = spark.createDataFrame(rows, "defect string, votes array<tinyint>, posterior double")
     return long.join(F.broadcast(known), ["defect", "votes"]).select("response_id", "field_name", "defect", "posterior")

@@ -9,7 +9,8 @@ Python, JSON and TOML are parsed by the parsers of the standard library, JavaScr
 recogniser in ``ecmascript``.  One map over the rows; only the few columns of the verdicts are shuffled.
 
 Defined cases: null and blank contents and suffixes without a grammar are never invalid and count in no rate.
-A content nested too deeply for a parser counts as valid.  Redelivered rows are reported once.
+Nesting has no limit in JSON, TOML, JavaScript and TypeScript; Python that Python's own parser gives up on because of
+its depth is invalid, as no Python 3 reads it.  Redelivered rows are reported once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+import sys
 import tomllib
 import warnings
 from collections.abc import Iterator
@@ -43,13 +45,53 @@ def _python(text: str) -> int | None:
             compile(text, "<file>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
     except SyntaxError as e:
         return e.lineno or 1
-    except ValueError:
+    except (ValueError, RecursionError, MemoryError):
         return 1
-    except (RecursionError, MemoryError):
-        return None
     return None
 
 
+def deeply(parse, text: str):
+    """``parse(text)`` with room for its nesting: frames of Python code lie on the heap, some for each level."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 40 * len(text) + 10_000))
+    try:
+        return parse(text)
+    finally:
+        sys.setrecursionlimit(before)
+
+
+_JSON_TOKEN = re.compile(
+    r"""[ \t\n\r]*(?:(?P<string>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<scalar>(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![\w.+\-]))|(?P<mark>[{}\[\],:]))"""
+)
+_AFTER = {"{": "key or end", "[": "value or end", ":": "value"}
+
+
+def _json_of_any_depth(text: str) -> int | None:
+    """Line of the first fault of strict JSON, None for none; a stack of open brackets instead of calls."""
+    open_: list[str] = []
+    want, at = "value", 0
+    while m := _JSON_TOKEN.match(text, at):
+        mark = m.group("mark")
+        if mark in ("{", "[") and want.startswith("value"):
+            open_.append(mark)
+            want = _AFTER[mark]
+        elif mark in ("}", "]") and open_ and open_[-1] == "{["[mark == "]"] and (want.endswith("or end")):
+            open_.pop()
+            want = "comma or end" if open_ else "nothing"
+        elif mark == ":" and want == "colon":
+            want = "value"
+        elif mark == "," and want == "comma or end" and open_:
+            want = "key" if open_[-1] == "{" else "value"
+        elif m.group("string") and want.startswith("key"):
+            want = "colon"
+        elif mark is None and want.startswith("value"):
+            want = "comma or end" if open_ else "nothing"
+        else:
+            return text.count("\n", 0, m.end()) + 1
+        at = m.end()
+    return None if want == "nothing" and not text[at:].strip(" \t\n\r") else text.count("\n", 0, at) + 1
+
+
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 
@@ -62,24 +104,28 @@ def _json(text: str) -> int | None:
     except ValueError:
         return 1
     except RecursionError:
-        return None
+        return _json_of_any_depth(text)
     return None
 
 
 def _toml(text: str) -> int | None:
     try:
-        tomllib.loads(text)
+        try:
+            tomllib.loads(text)
+        except RecursionError:
+            deeply(tomllib.loads, text)
     except tomllib.TOMLDecodeError as e:
         m = re.search(r"at line (\d+)", str(e))
         return int(m.group(1)) if m else text.count("\n") + 1
-    except RecursionError:
-        return None
     return None
 
 
 def _script(typescript: bool):
     def check(text: str) -> int | None:
-        at = ecmascript.check(text, typescript)
+        try:
+            at = ecmascript.check(text, typescript)
+        except RecursionError:
+            at = deeply(lambda t: ecmascript.check(t, typescript), text)
         return None if at is None else text.count("\n", 0, at) + 1
 
     return check

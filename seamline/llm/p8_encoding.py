@@ -2,7 +2,7 @@
 
 Method: round-trip repair.  A text is split where it is suspicious, each suspicious run is re-encoded
 under the legacy encodings that can hold it and strictly decoded as the encoding that was meant; this is
-repeated for nested layers and kept as long as a garbling cost drops.  What was lost on the way (U+FFFD,
+repeated for nested layers, however many, as long as a garbling cost drops.  What was lost on the way (U+FFFD,
 its re-encoded form, unassigned characters) cannot be restored and is reported as such.
 
 The operator is one map over the rows: no shuffle, no state, the same decision for a text whatever else
@@ -23,10 +23,6 @@ from .common import rows_by_batch
 SINGLE_BYTE = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "mac_roman", "koi8-r")
 #: Encodings of several bytes a character through which UTF-8, GBK or a Latin encoding is misread.
 MULTI_BYTE = ("gb18030", "cp950", "big5hkscs", "shift_jis", "euc-kr")
-#: How often a repair is repeated for nested layers.
-MAX_LAYERS = 4
-#: A quoted garbled sequence up to this many characters is a mention of it, not damage.
-MENTION_CHARS = 14
 
 _LATIN = "àâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿßÀÂÄÁÃÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖÕØŒÙÚÛÜÝŸ"
 _TYPO = "’‘“”„‚«»‹›–—…¿¡·•€™©®°§№×→←✓"
@@ -36,7 +32,8 @@ _UTF8 = re.compile(
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
 )
 _RUN = re.compile(r"[^\x00-\x7f]+(?: ?[^\x00-\x7f]+)*")
-_MENTION = re.compile(rf"`[^`\s]{{1,{MENTION_CHARS}}}`|“[^“”\s]{{1,{MENTION_CHARS}}}”|「[^「」\s]{{1,{MENTION_CHARS}}}」|[\"']�{{1,3}}[\"']")
+#: A quoted garbled sequence without white space is a mention of it, not damage.
+_MENTION = re.compile(r"`[^`\s]+`|“[^“”\s]+”|「[^「」\s]+」|[\"']�+[\"']")
 _LOST = re.compile("�|锟斤|斤拷|[-](?=[㐀-鿿-])|(?<=[㐀-鿿])[-]|[\x80-\x84\x86-\x9f]")
 
 
@@ -60,6 +57,8 @@ def char_cost(c: str) -> float:
         return 0.5
     if o >= 0x1F300 or 0xFF01 <= o <= 0xFF5E:
         return 1.5
+    if 0x3040 <= o <= 0x30FF or 0xAC00 <= o <= 0xD7AF:
+        return 2.0
     if o < 0x250 or c in "ˆ˜" or 0x370 <= o <= 0x52F or 0x2000 <= o <= 0x2BFF:
         return 2.0
     return 3.0 if o < 0xFFFF else 4.0
@@ -74,8 +73,13 @@ _IN_WORD = re.compile(
 )
 
 
+#: Letters of one script side by side make a word, which costs no more than any other word; misread bytes seldom do.
+_WORD = re.compile("(?<![a-zA-Z])(?:[Ͱ-Ͽἀ-῿]{2,}|[Ѐ-ԯ]{2,}|[぀-ヿ]{2,}|[가-힯]{2,})(?![a-zA-Z])")
+
+
 def cost(text: str) -> float:
-    return sum(map(char_cost, text)) + 3 * len(_IN_WORD.findall(text))
+    word = sum(sum(map(char_cost, w)) - len(w) for w in _WORD.findall(text))
+    return sum(map(char_cost, text)) - word + 3 * len(_IN_WORD.findall(text))
 
 
 def _plain(c: str) -> bool:
@@ -83,6 +87,14 @@ def _plain(c: str) -> bool:
     return char_cost(c) <= 1.5 or c in "\xa0ªºµ½¼¾±²³¹´¨" or 0x370 <= ord(c) <= 0x52F or 0x2190 <= ord(c) <= 0x2BFF or 0x4E00 <= ord(c) <= 0x9FFF
 
 
+_SCRIPTS = [(0x370, 0x3FF), (0x400, 0x52F), (0x590, 0x5FF), (0x600, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x3040, 0x30FF), (0xAC00, 0xD7AF)]
+
+
+def _letter(c: str) -> bool:
+    """A letter of another script that prose is written in."""
+    return any(a <= ord(c) <= b for a, b in _SCRIPTS)
+
+
 def _step(c: str) -> bool:
     """May ``c`` be an intermediate result, still misread once more?"""
     return c < "\xa0" or _plain(c) or char_cost(c) <= 2.0
@@ -119,7 +131,10 @@ def _strict(raw: bytes) -> str | None:
         out = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return out if all(map(_step, out)) else None
+    if all(map(_step, out)):
+        return out
+    # several characters of another script don't come out as valid UTF-8 by chance
+    return out if sum(map(_letter, out)) >= 2 and all(_step(c) or _letter(c) for c in out) else None
 
 
 def _gbk(part: str, enc: _Single) -> str:
@@ -166,8 +181,12 @@ def _by_single(text: str, enc: _Single) -> str:
 _PIECES = re.compile("(�+| )")
 
 
-def _by_multi(text: str, wrong: str, right: str) -> str:
-    """``text`` with each non-ASCII run that ``wrong`` can hold read as ``right``; lost bytes become U+FFFD."""
+def _by_multi(text: str, wrong: str, right: str, lossy: list[str]) -> str:
+    """``text`` with each non-ASCII run that ``wrong`` can hold strictly decoded as ``right``.
+
+    A run that lost bytes before does not decode strictly: what decodes of it is taken, the rest becomes U+FFFD, and
+    the encoding is noted in ``lossy``.
+    """
 
     def fix(m: re.Match) -> str:
         run = m.group()
@@ -183,17 +202,24 @@ def _by_multi(text: str, wrong: str, right: str) -> str:
                 raw = part.encode(wrong)
             except UnicodeEncodeError:
                 return run
-            out.append(raw.decode(right, "replace"))
+            try:
+                out.append(raw.decode(right))
+            except UnicodeDecodeError:
+                out.append(raw.decode(right, "replace"))
         new = "".join(out)
         if right == "utf-8":
             new = re.sub("�{2,}", "�", new)
         lost, kept = new.count("�"), [c for c in new if c > "\x7f" and c != "�"]
-        if not kept or any(not _plain(c) for c in kept):
+        if not kept or any(not (_plain(c) or _letter(c)) for c in kept):
             return run
-        if lost > 0.4 * len(kept) + run.count("�") or sum(char_cost(c) <= 1.0 for c in kept) < 0.8 * len(kept):
+        if lost > 0.4 * len(kept) + run.count("�") or sum(char_cost(c) <= 1.0 or _letter(c) for c in kept) < 0.8 * len(kept):
             return run
         in_word = beside and all(c in _LATIN for c in new if c > "\x7f")
-        return new if in_word or cost(new) < cost(run) else run
+        if not in_word and cost(new) >= cost(run):
+            return run
+        if lost > run.count("�"):
+            lossy.append(f"{wrong}>{right}")
+        return new
 
     return _RUN.sub(fix, text)
 
@@ -276,8 +302,8 @@ def _joined(parts: list[str], kept: list[str]) -> str:
     return "".join(x for pair in zip(parts, [*kept, ""]) for x in pair)
 
 
-def repair(text: str | None) -> tuple[str, bool, bool, int, float, float, str] | None:
-    """Repaired text, whether it changed, whether something is lost, layers, cost before and after, encodings.
+def repair(text: str | None) -> tuple[str, bool, bool, int, float, float, str, str] | None:
+    """Repaired text, whether it changed, whether something is lost, layers, cost before and after, encodings, evidence.
 
     None for a text that is not affected.
     """
@@ -288,9 +314,10 @@ def repair(text: str | None) -> tuple[str, bool, bool, int, float, float, str] |
         return None
     lost = any(_LOST.search(p) for p in body)
     names: list[str] = []
+    lossy: list[str] = []
     layers, multi_done = 0, False
     fixed = text
-    for _ in range(MAX_LAYERS):
+    while True:  # each layer lowers the cost by 1 at least, so this ends
         now, kept = _split(fixed)
         if layers and quoted and not any(map(_suspect, _split(fixed, every=True)[0])):
             break  # what is left is quoted
@@ -308,7 +335,7 @@ def repair(text: str | None) -> tuple[str, bool, bool, int, float, float, str] |
                 for right in ("utf-8", "gbk"):
                     if right == "gbk" and wrong == "gb18030":
                         continue
-                    new = [p if p.isascii() else _by_multi(p, wrong, right) for p in now]
+                    new = [p if p.isascii() else _by_multi(p, wrong, right, lossy) for p in now]
                     if new != now and (c := sum(map(cost, new))) < best_cost:
                         best, best_cost, name = new, c, f"{wrong}>{right}"
             new = [p if p.isascii() else _latin_by_gbk(p) for p in now]
@@ -322,17 +349,20 @@ def repair(text: str | None) -> tuple[str, bool, bool, int, float, float, str] |
         return None
     left, spans = _split(fixed, every=True)
     gone = any(_LOST.search(p) for p in [*left, *(m for m in spans if m not in quoted)])
-    return fixed, layers > 0, gone, layers, round(cost(text), 1), round(cost(fixed), 1), ",".join(names)
+    evidence = "marker" if not layers else "round trip with loss" if set(names) & set(lossy) else "round trip"
+    return fixed, layers > 0, gone, layers, round(cost(text), 1), round(cost(fixed), 1), ",".join(names), evidence
 
 
 #: Columns of ``repaired``.
-REPAIRED = "doc_id bigint, repaired string, changed boolean, lost boolean, layers int, cost_before double, cost_after double, encodings string"
+REPAIRED = "doc_id bigint, repaired string, changed boolean, lost boolean, layers int, cost_before double, cost_after double, encodings string, evidence string"
 
 
 def repaired(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each affected document: the restored text and what is known about the damage.
 
-    ``changed`` tells whether something was restored, ``lost`` whether damage remains that no encoding undoes.
+    ``changed`` tells whether something was restored, ``lost`` whether damage remains that no encoding undoes,
+    ``evidence`` whether a strict round trip shows the damage, one of runs that had lost bytes before, or only the
+    marks that a lossy decoding leaves.
     Texts without damage, null and empty texts give no row.
     """
 

@@ -114,10 +114,11 @@ def test_prefix_join_matches_brute_force(spark, monkeypatch):
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(120)] + ["same"] * 50
     bases = sorted({t[:3] for t in texts} | {"zz", "same"})
     monkeypatch.setattr(p3, "PARTITION_BYTES", 40)
-    probes = spark.createDataFrame([(b, b) for b in bases], "key string, base string")
-    values = spark.createDataFrame([(t,) for t in texts], "value string")
+    probes = spark.createDataFrame([(b, 0, 0) for b in bases], "base string, mode int, group int")
+    values = spark.createDataFrame([(t, 0, 0) for t in texts], "value string, mode int, group int")
+    key = {f"0~{p3.md5(b.encode()).hexdigest()}/0": b for b in bases}
     want = sorted(b for b in bases if any(t.startswith(b) and len(t) > len(b) for t in texts))
-    assert sorted(r[0] for r in p3.prefixes(probes, values).collect()) == want
+    assert sorted(key[r[0]] for r in p3.prefixes(probes, values).collect()) == want
     assert p3.prefixes(probes, values.limit(0)).count() == 0 and p3.prefixes(probes.limit(0), values).count() == 0
 
 

@@ -34,10 +34,25 @@ def test_own_probes_match_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     texts = sorted({"".join(rng.choice("ab .\n") for _ in range(rng.randint(1, 9))) for _ in range(300)})
     monkeypatch.setattr(p3, "PARTITION_BYTES", 40)
-    values = spark.createDataFrame([(t, 1) for t in texts + texts[:50]], "value string, mode int")
+    values = spark.createDataFrame([(t, 1, 0) for t in texts + texts[:50]] + [(t + "x", 1, 1) for t in texts], "value string, mode int, group int")
     want = {t for t in texts if any(u.startswith(t) and p3.goes_on_inside(t, u, 1) for u in texts)}
-    got = [r[0] for r in p3.prefixes(spark.createDataFrame([], "key string, base string"), values).collect()]
-    assert sorted(got) == sorted(f"={p3.md5(t.encode()).hexdigest()}/1" for t in want)
+    got = [r[0] for r in p3.prefixes(spark.createDataFrame([], "base string, mode int, group int"), values).collect()]
+    assert sorted(k for k in got if k[0] == "0") == sorted(f"0={p3.md5(t.encode()).hexdigest()}/1" for t in want)
+    asked = [t[: len(t) // 2] for t in texts if len(t) > 2]
+    probes = spark.createDataFrame([(t, 0, 1) for t in asked + asked], "base string, mode int, group int")
+    got = {r[0] for r in p3.prefixes(probes, values).collect() if "~" in r[0]}
+    assert got == {f"1~{p3.md5(t.encode()).hexdigest()}/0" for t in set(asked) if any((u + "x").startswith(t) and len(u) + 1 > len(t) and not p3.MARK.fullmatch(u + "x", len(t)) for u in texts)}
+
+
+def test_common_beginnings_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(p3, "PARTITION_BYTES", 4000)
+    head = "/* licence */ " * 40
+    texts = [head + f"x{k:03d} = {k}" for k in range(200)]
+    values = spark.createDataFrame([(t, 1, 0) for t in texts], "value string, mode int, group int")
+    assert len(p3._boundaries(values)) > 10
+    probes = spark.createDataFrame([(head, 0, 0), (head + "x19", 0, 0), (head + "x7", 0, 0)], "base string, mode int, group int")
+    got = {r[0] for r in p3.prefixes(probes, values).collect() if "~" in r[0]}
+    assert got == {f"0~{p3.md5(t.encode()).hexdigest()}/0" for t in (head, head + "x19")}
 
 
 LONG_LIST = "TABLE = [\n" + "    ('a', 1),\n" * 900
