@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not where:
         import tempfile
 
@@ -44,6 +47,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Repeated ids that are sent to all tasks at most; beyond it rows are shuffled.
+MOST_REPEATED = 1_000_000
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row a key; only the rows of repeated keys are shuffled, as long as these are few.
+
+    The number of repeated keys is counted before it is broadcast.  Rows without a key are all kept.
+    """
+    repeated = cut(df.groupBy(F.col(key).alias("key_")).count().where("count > 1 and key_ is not null").select("key_"))
+    n = repeated.count()
+    if not n:
+        return df
+    if n > MOST_REPEATED:
+        return df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionAll(df.where(F.col(key).isNull()))
+    same = F.col(key) == F.col("key_")
+    return df.join(F.broadcast(repeated), same, "left_anti").unionAll(df.join(F.broadcast(repeated), same, "left_semi").dropDuplicates([key]))
+
+
 def rows_by_batch(
     df: DataFrame, schema: T.StructType | str, fn: Callable[..., Iterable[tuple]]
 ) -> DataFrame:
