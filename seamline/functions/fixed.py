@@ -77,6 +77,9 @@ RISK_LABELS = {
     "create": "包含新增文件", "documentation": "当前动作主要修改文档", "update": "包含现有文件改写", "code": "目标是源代码或配置文件", "directories": "修改跨越多个目录", "signature": "检测到函数或类型签名变化",
     "import": "检测到导入关系变化", "large": "文件改动规模较大", "not_active": "目标文件不是当前活动文件",
 }
+RISK_MANY, SIGNATURE_WORD = ("本次方案涉及 ", " 个文件"), "签名变化"
+RISK_TAGS = {"low": "[低风险]", "medium": "[中风险]", "high": "[高风险]"}
+DEFAULT_SUMMARIES = {"create_file": "新增文件 ", "update_documentation": "更新文档 ", "other": "修改文件 "}
 RISK_HIGH, RISK_MEDIUM = 65, 30
 LARGE_NEW_LINES, LARGE_DELTA_LINES, LARGE_DELTA_SHARE = 30, 40, 0.35
 
@@ -104,3 +107,30 @@ BUSY_WORDS, IDLE_WORDS = ["发送", "思考", "检索", "生成", "规划", "分
 CONTEXT_EXCERPT_CHARS, CONTEXT_FULL_CHARS = 4000, 18000
 LONG_FUNCTION_LINES, MANY_PRINTS, LONG_FILE_LINES = 25, 3, 220
 GRADES = [(90, "A"), (80, "B"), (70, "C")]
+HISTORY_LABELS = {"overall": "整体风险：", "planned": "共生成 ", "planned_end": " 个待确认变更"}
+
+# Patterns of tagged text and of thoughts
+THOUGHT, OPEN_THOUGHT, SUMMARY_BLOCK = r"(?s)<think>.*?</think>", r"(?s)<think>.*\z", r"(?is)<summary>.*?</summary>"
+
+# Texts that are shown
+FALLBACK_FILES, FALLBACK_SCORE, FALLBACK_REASON = ["README.md", "backend/service.py", "src/extension.ts"], 10, "默认关键文件"
+REASON_WITH_KEYWORDS, REASON_WITHOUT, KEYWORD_SEPARATOR = "语义命中关键词：", "语义相关度较高", "、"
+NO_RANKING, QUERY_HEAD, MATCH_HEAD, RANKING_SUMMARY, SUMMARY_FILES = "(semantic retrieval unavailable)", "- Query concepts:", "- Semantic retrieval highlights:", "语义检索优先命中的文件：", 3
+SOURCE_LABELS = {"full": "full editor document", "excerpt": "editor excerpt", "disk": "disk file", "none": "unknown"}
+NO_CONTENT_HINT, GENERIC_POINT = "当前没有读取到文件内容，模型只能基于用户问题做一般性回答。", "当前文件不是 Python 文件，因此只做基础文本级分析。"
+UNFINISHED_HINT, LONG_FILE_HINT = "文件中包含 TODO 或 FIXME，说明仍有未完成事项。", "文件行数较多，后续可以考虑拆分模块。"
+PLANNED_SUMMARIES = {"create_file": "新增文件：", "update_documentation": "同步更新文档：", "active": "根据当前需求优化活动文件：", "other": "根据项目上下文更新相关文件："}
+SHORT_SUMMARIES = {"create_file": "新增文件", "update_documentation": "更新文档", "other": "修改文件"}
+OUTCOME_HEADS = {"applied": "已执行文件修改", "skipped": "未执行文件修改", "failed": "文件修改失败"}
+OUTCOME_FILE, OUTCOME_NOTE, OUTCOME_REASON = "文件：", "说明：", "原因："
+OVERALL_REASONS = {"many": ("涉及 ", " 个文件"), "wide": "覆盖多个目录", "high": "至少一个文件属于高风险改写", "signature": "存在接口或结构定义变化", "none": "本次修改范围较集中"}
+OVERALL_SEPARATOR, OVERALL_PARTS = "，", 3
+RISK_NAMES = {"low": "低风险", "medium": "中风险", "high": "高风险"}
+REPORT_TITLE, REPORT_RULE, REPORT_AVERAGE = "学生成绩报告", "=" * 40, "全班平均分: "
+STUDENT_LABELS = ("姓名: ", "数学: ", "英语: ", "Python: ", "平均分: ", "等级: ")
+NO_WORKSPACE_PREFIX = "当前没有打开项目文件夹。请先仅针对当前活动文件处理下面这条需求，不要规划多文件方案："
+STREAM_STATUS = {"edit": "正在生成实时 patch", "workspace": "正在规划项目级修改", "chat": "正在生成回复"}
+MISSING_MODEL_WORDS = ["not found", "manifest"]
+DEMO_FILE, DEMO_SUMMARY = "sample_student_manager.py", "演示保底方案：优化示例文件的结构与异常处理"
+CUSTOM_PRESET, CUSTOM_LABEL, ESCAPED_BRACKET = "custom-local", "小研", "\\u003c"
+APPLY_NOTES = {"failed": "failed", "shown_diffs": 5, "notes": 4, "related": 3}

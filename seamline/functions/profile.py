@@ -54,11 +54,11 @@ def _structure(text: str | None) -> dict:
         handlers = [h.type for h in inner if isinstance(h, ast.ExceptHandler)]
         prints = sum(isinstance(c, ast.Call) and isinstance(c.func, ast.Name) and c.func.id == "print" for c in inner)
         if length >= fixed.LONG_FUNCTION_LINES:
-            out["long_functions"].append(node.name)
+            out["long_functions"].append(f"{node.name}({length} lines)")
         if any(h is None or (isinstance(h, ast.Name) and h.id == "Exception") for h in handlers):
             out["broad_excepts"].append(node.name)
         if prints >= fixed.MANY_PRINTS:
-            out["print_heavy"].append(node.name)
+            out["print_heavy"].append(f"{node.name}({prints} prints)")
 
     callables = (ast.FunctionDef, ast.AsyncFunctionDef)
     for node in tree.body:

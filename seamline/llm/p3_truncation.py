@@ -522,7 +522,7 @@ def _mode() -> Column:
 #: Bytes of text that one part of the sort is meant to hold, and the most parts; beyond these, parts grow with the data.
 PARTITION_BYTES, MOST_PARTS = 8 << 20, 32_768
 #: Distinct texts sampled for each boundary, and the characters of each that are read (fewer where there are many).
-SAMPLED, BOUNDARY_CHARS = 8, 2048
+SAMPLED, BOUNDARY_CHARS = 4, 2048
 #: An open end shorter than this is not decided by any longer text, as short answers begin many, but by how it goes on.
 LEAST_PROBE = 20
 
@@ -546,8 +546,8 @@ def _boundaries(texts: DataFrame) -> list[tuple[int, str]]:
     n = int(max(1, min(MOST_PARTS, (sizes["bytes"] or 0) // PARTITION_BYTES)))
     if n == 1:
         return []
-    every, chars = max(1, sizes["n"] // (SAMPLED * max(n, 512))), BOUNDARY_CHARS if n <= 4096 else BOUNDARY_CHARS // 4
-    drawn = texts.where(F.pmod(F.xxhash64("value"), F.lit(every)) == 0).select("group", F.substring("value", 1, chars).alias("v")).distinct().limit(4 * SAMPLED * max(n, 512))
+    every, chars = max(1, sizes["n"] // (SAMPLED * max(n, 256))), BOUNDARY_CHARS if n <= 4096 else BOUNDARY_CHARS // 4
+    drawn = texts.where(F.pmod(F.xxhash64("value"), F.lit(every)) == 0).select("group", F.substring("value", 1, chars).alias("v")).distinct().limit(4 * SAMPLED * max(n, 256))
     ordered = sorted((r["group"], r["v"]) for r in drawn.collect())
     out = []
     for k in range(1, n):

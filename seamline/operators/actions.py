@@ -105,4 +105,59 @@ def status_counts(actions: DataFrame, *by: str) -> DataFrame:
 
 def default_summary(kind: str, target: str) -> Column:
     name = X.file_name(target)
-    return F.when(F.col(kind) == "create_file", F.concat(F.lit("新增文件 "), name)).when(F.col(kind) == "update_documentation", F.concat(F.lit("更新文档 "), name)).otherwise(F.concat(F.lit("修改文件 "), name))
+    d = fixed.DEFAULT_SUMMARIES
+    head = F.when(F.col(kind) == "create_file", d["create_file"]).when(F.col(kind) == "update_documentation", d["update_documentation"]).otherwise(d["other"])
+    return F.concat(head, name)
+
+
+def permission(target: str, root: str, active: str, opened: str) -> Column:
+    """Why a path may be written: blank, active_file, opened, inside_root or outside.
+
+    ``opened`` is a boolean column: the path is that of an open document or lies in a folder of the workspace, which a
+    semi-join with these finds.
+    """
+    p, r = X.normal_path(target), F.regexp_replace(X.normal_path(X.blank_to_empty(root)), "/+$", "")
+    return (
+        F.when(X.strip(X.blank_to_empty(target)) == "", "blank")
+        .when(F.coalesce(p == X.normal_path(F.nullif(F.col(active), F.lit(""))), F.lit(False)), "active_file")
+        .when(F.coalesce(F.col(opened), F.lit(False)), "opened")
+        .when((X.blank_to_empty(root) != "") & ((p == r) | F.startswith(p, F.concat(r, F.lit("/")))), "inside_root")
+        .otherwise("outside")
+    )
+
+
+def outcomes(actions: DataFrame, batch: str = "response_id", action: str = "action_id") -> DataFrame:
+    """batch, action, outcome: what applying the actions of each batch one after the other gives.
+
+    ``actions``: batch, action, kind, allowed, on_disk, current, original_content, updated_content, and ``rel``, the
+    path that is written.  An action sees what earlier ones of its batch wrote to its path: the actions of one path
+    are folded in order, so only what one batch does to one path is ever in one row.  ``failed``: the path is a
+    folder (``is_folder``).  Kinds that nothing applies give no row.
+    """
+    text = lambda c: X.canonical(c).alias(c)
+    known = actions.where(F.col("kind").isin("create_file", "update_file", "update_documentation"))
+    one = F.struct(action, "kind", text("original_content"), text("updated_content"), "allowed", "is_folder")
+    g = known.groupBy(batch, "rel").agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a[action] < b[action], -1).when(a[action] > b[action], 1).otherwise(0)).alias("all_"), F.max(F.when(F.col("on_disk"), X.canonical("current"))).alias("disk_"))
+    state = f"struct<text:string,out:array<struct<id:{actions.schema[action].dataType.simpleString()},outcome:string>>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        there, old, new = acc["text"].isNotNull(), x["original_content"], x["updated_content"]
+        outcome = (
+            F.when(~x["allowed"], "skipped")
+            .when(x["is_folder"], "failed")
+            .when(x["kind"] == "create_file", F.when(there, "skipped").otherwise("applied"))
+            .when(~there, F.when(x["kind"] == "update_file", "skipped").otherwise("applied"))
+            .when((acc["text"] != old) | (acc["text"] == new), "skipped")
+            .otherwise("applied")
+        )
+        return F.struct(F.when(outcome == "applied", new).otherwise(acc["text"]).alias("text"), F.concat(acc["out"], F.array(F.struct(x[action].alias("id"), outcome.alias("outcome")))).alias("out")).cast(state)
+
+    start = F.struct(F.col("disk_").alias("text"), F.array().cast(f"array<struct<id:{actions.schema[action].dataType.simpleString()},outcome:string>>").alias("out")).cast(state)
+    return g.select(batch, F.explode(F.aggregate("all_", start, step)["out"]).alias("o_")).select(batch, F.col("o_.id").alias(action), "o_.outcome")
+
+
+def demo_actions(requests: DataFrame, content: str, name: str = fixed.DEMO_FILE) -> DataFrame:
+    """request_id, kind, target_file, summary, updated_content: one constant action where the open file has that name."""
+    below = X.relative_to("active_file", "workspace_root")
+    inside = (X.blank_to_empty("workspace_root") != "") & F.startswith(X.slashed("active_file"), F.concat(F.regexp_replace(X.slashed("workspace_root"), "/+$", ""), F.lit("/")))
+    return requests.where(inside & (X.file_name("active_file") == name)).select("request_id", F.lit("update_file").alias("kind"), X.slashed(below).alias("target_file"), F.lit(fixed.DEMO_SUMMARY).alias("summary"), F.lit(content).alias("updated_content"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from ..sources.shared import cut
 
 
 def explicit_paths(requests: DataFrame, request_id: str = "request_id", prompt: str = "prompt") -> DataFrame:
@@ -37,9 +38,12 @@ def planned(requests: DataFrame, files: DataFrame, candidates: DataFrame, reques
     files; ``candidates``: request_id, relative_path, rank of a search.  A path that does not exist is planned
     only as documentation or where the request asks for something new.
     """
+    requests, candidates = cut(requests.select(request_id, root, "prompt", "active_file", "project_scope", "wants_documentation", "wants_code", "wants_creation", "documentation_optional")), cut(candidates)  # each is read several times
     base = requests.select(request_id, root, "project_scope", "wants_documentation", "wants_code", "wants_creation", "documentation_optional", X.relative_to("active_file", root).alias("active_rel"), X.slashed("active_file").alias("active_abs"))
     cand = candidates.select(F.col(request_id).alias("c_id"), X.slashed("relative_path").alias("c_path"), F.col("rank").alias("c_rank"))
-    exists = files.select(F.col(root).alias("e_root"), X.slashed("relative_path").alias("e_path")).distinct()
+    roots = base.select(F.col(root).alias("a_root")).distinct()
+    paths = files.select(F.col(root).alias("e_root"), X.slashed("relative_path").alias("e_path"))
+    exists = cut(paths.join(roots, F.col("e_root") == F.col("a_root"), "left_semi").distinct())
     # 1: explicit paths; a candidate of that path, else the last candidate of that name, else itself
     by_path = cand.groupBy("c_id", F.lower("c_path").alias("k_")).agg(F.max_by("c_path", "c_rank").alias("by_path"))
     by_name = cand.groupBy("c_id", F.lower(X.file_name("c_path")).alias("k_")).agg(F.max_by("c_path", "c_rank").alias("by_name"))
@@ -61,7 +65,7 @@ def planned(requests: DataFrame, files: DataFrame, candidates: DataFrame, reques
     d = wants.join(has("README.md").withColumnRenamed("e_root", "r1"), F.col(root) == F.col("r1"), "left").join(first_doc, F.col(request_id) == F.col("c_id"), "left").join(has("docs/README.md").withColumnRenamed("e_root", "r2"), F.col(root) == F.col("r2"), "left")
     target = F.when(F.col("r1").isNotNull(), "README.md").when(F.col("doc_path").isNotNull(), F.col("doc_path")).when(F.col("r2").isNotNull(), "docs/README.md")
     stage3 = d.withColumn("target_file", target).where("target_file is not null").select(request_id, F.lit(3).alias("stage"), F.lit(0).cast("bigint").alias("ordinal"), F.lit("update_documentation").alias("kind"), "target_file")
-    earlier = first_wins(stage1.unionAll(stage2).unionAll(stage3), request_id, "target_file", "stage", "ordinal")
+    earlier = cut(first_wins(stage1.unionAll(stage2).unionAll(stage3), request_id, "target_file", "stage", "ordinal"))
     # 4: ranked candidates that do not document, at most two of a folder with what was taken before; the root is free
     most = F.when(F.col("project_scope"), fixed.PLANNED_IN_PROJECT).otherwise(fixed.PLANNED)
     seeds = earlier.groupBy(F.col(request_id).alias("s_id"), X.parent("target_file").alias("s_dir")).agg(F.count("*").alias("taken"))
@@ -72,4 +76,5 @@ def planned(requests: DataFrame, files: DataFrame, candidates: DataFrame, reques
     stage4 = admitted.select(F.col("c_id").alias(request_id), F.lit(4).alias("stage"), F.col("c_rank").cast("bigint").alias("ordinal"), F.lit("update_file").alias("kind"), F.col("c_path").alias("target_file"))
     every = first_wins(earlier.unionAll(stage4), request_id, "target_file", "stage", "ordinal")
     placed = every.withColumn("place", F.row_number().over(W.partitionBy(request_id).orderBy("stage", "ordinal")))
+    placed = placed.where(F.col("place") <= max(fixed.PLANNED, fixed.PLANNED_IN_PROJECT))  # a literal, so each task keeps no more
     return placed.join(base.select(F.col(request_id).alias("b_id"), most.alias("most")), F.col(request_id) == F.col("b_id")).where("place <= most").select(request_id, "place", "kind", "target_file", "stage")

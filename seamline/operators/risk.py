@@ -29,7 +29,6 @@ def features(actions: DataFrame, batch: str, action: str) -> DataFrame:
 
     ``actions``: batch, action, kind, target_file, original_content, updated_content, active_file.
     """
-    active = F.lower(X.strip(X.blank_to_empty("active_file")))
     return actions.select(
         batch,
         action,
@@ -40,16 +39,21 @@ def features(actions: DataFrame, batch: str, action: str) -> DataFrame:
         counts_differ("original_content", "updated_content", fixed.SIGNATURE_LINE).alias("signature_"),
         counts_differ("original_content", "updated_content", fixed.IMPORT_LINE).alias("import_"),
         large_delta("original_content", "updated_content").alias("large_"),
-        ((active != "") & (active != F.lower("target_file"))).alias("elsewhere_"),
+        *([F.col("active_file")] if "active_file" in actions.columns else []),
     )
 
 
-def assessed(actions: DataFrame, batch: str = "response_id", action: str = "action_id") -> DataFrame:
+def assessed(actions: DataFrame, batch: str = "response_id", action: str = "action_id", active: DataFrame | None = None) -> DataFrame:
     """batch, action, target_file, score, level, reason (the first three): the risk of each change within its batch.
 
-    Batches come from an aggregate joined back, so a batch of any size is never in one task.
+    Redelivered changes count once.  ``active`` (batch, active_file) is joined to the features if the actions have no
+    active file of their own.  Batches come from an aggregate joined back, so a batch of any size is never in one task.
     """
-    f = features(actions, batch, action)
+    f = features(actions, batch, action).dropDuplicates([batch, action])
+    if active is not None:
+        f = f.join(active.select(F.col(batch).alias("a_batch"), "active_file"), F.col(batch) == F.col("a_batch"), "left").drop("a_batch")
+    opened = F.lower(X.strip(X.blank_to_empty("active_file")))
+    f = f.withColumn("elsewhere_", (opened != "") & (opened != F.lower("target_file")))
     sizes = f.groupBy(F.col(batch).alias("b_")).agg(F.count("*").alias("n_"), F.count_distinct("folder_").alias("folders_"))
     j = f.join(sizes, F.col(batch) == F.col("b_"))
     w, lab = fixed.RISK_WEIGHTS, fixed.RISK_LABELS
@@ -71,7 +75,7 @@ def assessed(actions: DataFrame, batch: str = "response_id", action: str = "acti
     reasons = F.concat(
         F.array(F.when(creates, lab["create"]).when(documents, lab["documentation"]).otherwise(lab["update"])),
         one(F.col("code_"), F.lit(lab["code"])),
-        one(many, F.format_string("本次方案涉及 %d 个文件", F.col("n_"))),
+        one(many, F.concat(F.lit(fixed.RISK_MANY[0]), F.col("n_").cast("string"), F.lit(fixed.RISK_MANY[1]))),
         one(wide, F.lit(lab["directories"])),
         *[one(F.col(f"{k}_"), F.lit(lab[k])) for k in ("signature", "import", "large")],
         one(F.col("elsewhere_"), F.lit(lab["not_active"])),
@@ -85,7 +89,7 @@ def batches(assessments: DataFrame, batch: str = "response_id") -> DataFrame:
     The signature flag looks at the three reasons that were kept, so one in fourth place does not count.
     """
     g = assessments.groupBy(batch).agg(
-        F.max("score").alias("worst"), F.count("*").alias("actions"), F.count_distinct("folder").alias("folders"), F.bool_or(F.col("level") == "high").alias("any_high"), F.bool_or(F.col("reason").contains("签名变化")).alias("any_signature")
+        F.max("score").alias("worst"), F.count("*").alias("actions"), F.count_distinct("folder").alias("folders"), F.bool_or(F.col("level") == "high").alias("any_high"), F.bool_or(F.col("reason").contains(fixed.SIGNATURE_WORD)).alias("any_signature")
     )
     score = F.least(F.lit(fixed.RISK_BATCH["most"]), F.col("worst") + (F.col("actions") - 1) * fixed.RISK_BATCH["each_more"] + (F.greatest(F.col("folders"), F.lit(1)) - 1) * fixed.RISK_BATCH["each_directory"]).cast("int")
     return g.select(batch, "actions", "folders", score.alias("score"), level(score).alias("level"), "any_high", "any_signature")
@@ -94,6 +98,6 @@ def batches(assessments: DataFrame, batch: str = "response_id") -> DataFrame:
 def decorated_summary(summary: str, lvl: str, reason: str) -> Column:
     """Summary with the label of its risk in front; one that has a label already stays."""
     t = X.strip(X.blank_to_empty(summary))
-    label = F.when(F.col(lvl) == "low", "[低风险]").when(F.col(lvl) == "high", "[高风险]").otherwise("[中风险]")
+    label = F.when(F.col(lvl) == "low", fixed.RISK_TAGS["low"]).when(F.col(lvl) == "high", fixed.RISK_TAGS["high"]).otherwise(fixed.RISK_TAGS["medium"])
     with_reason = F.when(F.coalesce(F.col(reason), F.lit("")) != "", F.concat(label, F.lit(" "), t, F.lit(fixed.LABEL_SEPARATOR), F.col(reason))).otherwise(F.concat(label, F.lit(" "), t))
     return F.when(t.rlike(r"\A\[[低中高]风险\]"), t).otherwise(with_reason)

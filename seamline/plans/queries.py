@@ -57,8 +57,14 @@ def _files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return first_arrival(s, "snapshot_id")
 
 
-def _actions(spark: SparkSession, d: str) -> DataFrame:
-    return first_arrival(_t(spark, d, "file_actions"), "action_id")
+def _actions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Columns of the actions, redelivered rows included: results are computed where a row lies and deduplicated after."""
+    return _t(spark, d, "file_actions").select("action_id", *columns)
+
+
+def _once(df: DataFrame, key: str) -> DataFrame:
+    """One row for each record; all columns of redelivered rows but the time of arrival are equal."""
+    return df.dropDuplicates([key])
 
 
 # --- terms and ranking -------------------------------------------------------------------------------------
@@ -83,8 +89,8 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _semantic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    q = _asking(spark, d).select("workspace_root", "request_id", F.concat_ws("\n", F.nullif("prompt", F.lit("")), F.nullif("selected_text", F.lit(""))).alias("text"), X.holds_any("prompt", fixed.DOCUMENTATION_WORDS).alias("docs_wanted"))
-    f = _files(spark, d, "reason", "excerpt").select("workspace_root", "snapshot_id", F.col("relative_path").alias("path"), F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in ("relative_path", "reason", "excerpt")]).alias("text"))
+    q = _t(spark, d, "gen_requests").where(F.col("request_id") % ASKING == 0).select("workspace_root", "request_id", F.concat_ws("\n", F.nullif("prompt", F.lit("")), F.nullif("selected_text", F.lit(""))).alias("text"), X.holds_any("prompt", fixed.DOCUMENTATION_WORDS).alias("docs_wanted"))
+    f = _t(spark, d, "file_snapshots").select("workspace_root", "snapshot_id", F.col("relative_path").alias("path"), F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in ("relative_path", "reason", "excerpt")]).alias("text"))
     return q.where("workspace_root is not null"), f.where("workspace_root is not null")
 
 
@@ -123,9 +129,8 @@ def search_overview(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d, "full_content")
     text = F.coalesce("full_content", F.lit(""))
-    return f.select("snapshot_id", X.excerpt(text).alias("cut"), F.when(F.length(text) <= fixed.FULL_CONTENT_CHARS, "full").otherwise("excerpt").alias("mode"))
+    return _once(_t(spark, d, "file_snapshots").select("snapshot_id", X.excerpt(text).alias("cut"), F.when(F.length(text) <= fixed.FULL_CONTENT_CHARS, "full").otherwise("excerpt").alias("mode")), "snapshot_id")
 
 
 # --- requests ----------------------------------------------------------------------------------------------
@@ -149,7 +154,7 @@ def explicit_paths(spark: SparkSession, d: str) -> DataFrame:
 @query
 def planned_targets(spark: SparkSession, d: str) -> DataFrame:
     asking = _asking(spark, d).withColumn("full_document_text", F.lit(None).cast("string"))
-    files = _files(spark, d).select("workspace_root", "relative_path")
+    files = _t(spark, d, "file_snapshots").select("workspace_root", "relative_path")
     chosen = R.search_top(_scores(spark, d))
     return L.planned(Q.routed(asking), files, chosen)
 
@@ -175,28 +180,28 @@ def latest_by_role(spark: SparkSession, d: str) -> DataFrame:
 # --- actions -----------------------------------------------------------------------------------------------
 
 
-def _with_active(spark: SparkSession, d: str) -> DataFrame:
-    """Actions with the file that was open when their request was made."""
-    resp = first_arrival(_t(spark, d, "gen_responses").select("response_id", "request_id", "ingested_at"), "response_id").select(F.col("response_id").alias("r_id"), "request_id")
-    req = first_arrival(_t(spark, d, "gen_requests").select("request_id", "active_file", "ingested_at"), "request_id").select(F.col("request_id").alias("q_id"), "active_file")
-    a = _actions(spark, d)
-    return a.join(resp.join(req, F.col("request_id") == F.col("q_id")).select("r_id", "active_file"), F.col("response_id") == F.col("r_id"), "left").drop("r_id")
+def _assessed(spark: SparkSession, d: str) -> DataFrame:
+    """The risk of each action, with the file that was open when its request was made."""
+    resp = _t(spark, d, "gen_responses").select("response_id", "request_id").dropDuplicates(["response_id"])
+    req = _t(spark, d, "gen_requests").select(F.col("request_id").alias("q_id"), "active_file").dropDuplicates(["q_id"])
+    active = resp.join(req, F.col("request_id") == F.col("q_id")).select("response_id", "active_file")
+    return K.assessed(_actions(spark, d, "response_id", "kind", "target_file", "original_content", "updated_content"), active=active)
 
 
 @query
 def risk_actions(spark: SparkSession, d: str) -> DataFrame:
-    return K.assessed(_with_active(spark, d)).select("action_id", F.col("score").cast("bigint").alias("score"), "level", "reason")
+    return _assessed(spark, d).select("action_id", F.col("score").cast("bigint").alias("score"), "level", "reason")
 
 
 @query
 def risk_batches(spark: SparkSession, d: str) -> DataFrame:
-    b = K.batches(K.assessed(_with_active(spark, d)))
+    b = K.batches(_assessed(spark, d))
     return b.select("response_id", "actions", "folders", F.col("score").cast("bigint").alias("score"), "level", "any_high", "any_signature")
 
 
 def _checked(spark: SparkSession, d: str, syntax: bool) -> DataFrame:
     newest = _t(spark, d, "file_snapshots").where("workspace_root is not null and relative_path is not null").groupBy("workspace_root", "relative_path").agg(F.max_by("full_content", "snapshot_id").alias("full_content"))
-    a = _actions(spark, d).select("action_id", "workspace_root", "kind", "target_file", "original_content", "updated_content")
+    a = first_arrival(_actions(spark, d, "workspace_root", "kind", "target_file", "original_content", "updated_content", "ingested_at"), "action_id").drop("ingested_at")
     return A.checked(A.with_original(a, newest), syntax=syntax)
 
 
@@ -206,51 +211,67 @@ def action_checks(spark: SparkSession, d: str) -> DataFrame:
     return _checked(spark, d, True).select("action_id", "on_disk", "error")
 
 
+@query
+def action_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The rule that each action breaks, the Python syntax left out."""
+    return _checked(spark, d, False).select("action_id", "on_disk", "error")
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What applying the actions of each response in their order gives, by what the scanned files hold now."""
+    newest = _t(spark, d, "file_snapshots").where("workspace_root is not null and relative_path is not null").groupBy("workspace_root", "relative_path").agg(F.max_by("full_content", "snapshot_id").alias("full_content"))
+    a = _actions(spark, d, "response_id", "workspace_root", "kind", "target_file", "original_content", "updated_content").dropDuplicates(["action_id"])
+    j = A.with_original(a, newest)
+    folders = newest.select(F.col("workspace_root").alias("w_root"), X.parent(X.slashed("relative_path")).alias("w_dir")).distinct()
+    rel = F.coalesce(X.relative_to("resolved", "workspace_root"), F.concat(F.lit("\n"), F.col("target_file")), F.lit("\n"))
+    j = j.withColumns({"rel": rel, "allowed": F.col("resolved").isNotNull()})
+    j = j.join(folders.withColumn("is_folder", F.lit(True)), (F.col("workspace_root") == F.col("w_root")) & (F.col("rel") == F.col("w_dir")), "left").withColumn("is_folder", F.coalesce("is_folder", F.lit(False)))
+    return A.outcomes(j)
+
+
 @query
 def action_apply(spark: SparkSession, d: str) -> DataFrame:
-    """What applying each action gives when its target still has the original content."""
-    a = _actions(spark, d).withColumns({"allowed": A.inside_root("target_file", "workspace_root").isNotNull(), "on_disk": F.col("kind") != "create_file", "current": F.coalesce("original_content", F.lit(""))})
-    return a.groupBy("kind", A.applied_status().alias("outcome")).agg(F.count("*").alias("n"))
+    return _outcomes(spark, d).select("action_id", "outcome")
 
 
 @query
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
-    return A.status_counts(_actions(spark, d), "source")
+    return A.status_counts(_once(_actions(spark, d, "source", "status"), "action_id"), "source")
 
 
 @query
 def written_lengths(spark: SparkSession, d: str) -> DataFrame:
     w = A.written_text("updated_content", "original_content")
-    return _actions(spark, d).select("action_id", F.length(w).cast("bigint").alias("n_chars"), F.md5(w).alias("digest"))
+    return _once(_actions(spark, d, "original_content", "updated_content").select("action_id", F.length(w).cast("bigint").alias("n_chars"), F.md5(w).alias("digest")), "action_id")
 
 
 @query
 def line_diffs(spark: SparkSession, d: str) -> DataFrame:
-    return D.unified(_actions(spark, d).select("action_id", "kind", "target_file", "original_content", "updated_content")).select("action_id", "diff")
+    return _once(D.unified(_actions(spark, d, "kind", "target_file", "original_content", "updated_content")).select("action_id", "diff"), "action_id")
 
 
 @query
 def diff_bounds(spark: SparkSession, d: str) -> DataFrame:
     names = ("old_lines", "new_lines", "prefix", "suffix", "removed", "added")
-    return D.bounds(_actions(spark, d).select("action_id", "original_content", "updated_content")).select("action_id", *[F.col(n).cast("bigint").alias(n) for n in names])
+    return _once(D.bounds(_actions(spark, d, "original_content", "updated_content")).select("action_id", *[F.col(n).cast("bigint").alias(n) for n in names]), "action_id")
 
 
 @query
 def write_progress(spark: SparkSession, d: str) -> DataFrame:
-    p = E.progress(_actions(spark, d).select("action_id", "updated_content"), "action_id", "updated_content")
+    p = E.progress(_actions(spark, d, "updated_content"), "action_id", "updated_content").dropDuplicates(["action_id", "step"])
     return p.select("action_id", *[F.col(n).cast("bigint").alias(n) for n in ("step", "percent", "written")])
 
 
 @query
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     t = "target_file"
-    return _actions(spark, d).select("action_id", X.file_name(t).alias("name"), X.suffix(t).alias("suffix"), X.parent(t).alias("parent"), X.last_two(t).alias("short"), X.is_documentation(t).alias("documents"), X.is_documentation_file(t).alias("documents_file"))
+    return _once(_actions(spark, d, t), "action_id").select("action_id", X.file_name(t).alias("name"), X.suffix(t).alias("suffix"), X.parent(t).alias("parent"), X.last_two(t).alias("short"), X.is_documentation(t).alias("documents"), X.is_documentation_file(t).alias("documents_file"))
 
 
 @query
 def first_targets(spark: SparkSession, d: str) -> DataFrame:
     """The first action on each target of a workspace, in any case and with either slash."""
-    a = _actions(spark, d).select("action_id", "workspace_root", "target_file")
+    a = _once(_actions(spark, d, "workspace_root", "target_file"), "action_id")
     return L.first_wins(a, "workspace_root", "target_file", "action_id").select("action_id")
 
 
@@ -258,7 +279,7 @@ def first_targets(spark: SparkSession, d: str) -> DataFrame:
 def targets_on_disk(spark: SparkSession, d: str) -> DataFrame:
     """Actions by whether their target is among the scanned files."""
     f = _t(spark, d, "file_snapshots").select(F.col("workspace_root").alias("r"), X.slashed("relative_path").alias("p")).distinct()
-    a = _actions(spark, d).select("action_id", "workspace_root", X.slashed("target_file").alias("path"))
+    a = _once(_actions(spark, d, "workspace_root", "target_file"), "action_id").select("action_id", "workspace_root", X.slashed("target_file").alias("path"))
     on = (F.col("workspace_root") == F.col("r")) & (F.col("path") == F.col("p"))
     there, gone = a.join(f, on, "left_semi").select("action_id", F.lit(True).alias("on_disk")), a.join(f, on, "left_anti").select("action_id", F.lit(False).alias("on_disk"))
     return there.unionAll(gone)
@@ -318,8 +339,11 @@ def stream_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _interface(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("type") == "message_chunk", "messageChunk").when(F.col("type") == "result", "message").when(F.col("type") == "patch", "proposal").otherwise(F.col("type"))
-    return _events(spark, d).select("doc_id", F.col("line_no").alias("seq"), kind.alias("type"), F.lit("agent").alias("role"), F.col("chunk").alias("text"))
+    """Events of an interface out of stream events; some lines stand for a hydrate, a cleared proposal or the user."""
+    n = F.col("line_no")
+    kind = F.when(F.col("type") == "message_chunk", "messageChunk").when(F.col("type") == "result", "message").when((F.col("type") == "patch") & (n % 7 == 3), "clearProposal").when(F.col("type") == "patch", "proposal").when((F.col("type") == "status") & (n % 5 == 2), "hydrate").otherwise(F.col("type"))
+    role = F.when((F.col("type") == "result") & (n % 3 == 1), "user").otherwise("agent")
+    return _events(spark, d).select("doc_id", n.alias("seq"), kind.alias("type"), role.alias("role"), F.col("chunk").alias("text"))
 
 
 @query
@@ -327,22 +351,30 @@ def interface_state(spark: SparkSession, d: str) -> DataFrame:
     return E.interface_state(_interface(spark, d), "doc_id")
 
 
+@query
+def proposal_states(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each stream leaves a proposal open, and one that may be applied."""
+    n = F.col("line_no")
+    kind = F.when(F.col("type") == "patch", "patch").when((F.col("type") == "status") & (n % 2 == 0), "proposal").when((F.col("type") == "result") & (n % 3 == 0), "apply").when((F.col("type") == "result") & (n % 3 == 1), "discard").when(n % 11 == 0, "prompt")
+    return E.proposal_states(_events(spark, d).select("doc_id", n.alias("seq"), kind.alias("type")).where("type is not null"), "doc_id")
+
+
 # --- profiles, marks, lookups ------------------------------------------------------------------------------
 
 
 @query
 def python_structure(spark: SparkSession, d: str) -> DataFrame:
-    a = _actions(spark, d).where((X.suffix("target_file") == ".py") & F.col("updated_content").isNotNull()).select("action_id", P.python_structure("updated_content").alias("s"))
+    a = _actions(spark, d, "target_file", "updated_content").where((X.suffix("target_file") == ".py") & F.col("updated_content").isNotNull()).select("action_id", P.python_structure("updated_content").alias("s"))
     names = ("imports", "functions", "classes", "long_functions", "broad_excepts", "print_heavy")
-    return a.select("action_id", "s.line_count", "s.char_count", "s.error_line", *[F.array_join(f"s.{n}", ",").alias(n) for n in names])
+    return _once(a, "action_id").select("action_id", "s.line_count", "s.char_count", "s.error_line", *[F.array_join(f"s.{n}", ",").alias(n) for n in names])
 
 
 @query
 def text_reports(spark: SparkSession, d: str) -> DataFrame:
     """Line count and notes of files that are not Python."""
-    f = _files(spark, d, "full_content").where("full_content is not null and lower(suffix) <> '.py'")
+    f = _t(spark, d, "file_snapshots").where("full_content is not null and lower(suffix) <> '.py'")
     n = P.split_line_count("full_content")
-    return f.select("snapshot_id", n.cast("bigint").alias("n_lines"), (F.col("full_content").contains("TODO") | F.col("full_content").contains("FIXME")).alias("unfinished"), (n > fixed.LONG_FILE_LINES).alias("long"))
+    return _once(f.select("snapshot_id", n.cast("bigint").alias("n_lines"), (F.col("full_content").contains("TODO") | F.col("full_content").contains("FIXME")).alias("unfinished"), (n > fixed.LONG_FILE_LINES).alias("long")), "snapshot_id")
 
 
 @query

@@ -115,10 +115,70 @@ def proposal_states(events: DataFrame, session: str, seq: str = "seq") -> DataFr
 
 
 def progress(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, step, percent, written: progress of a text written in growing prefixes, 95 % at most until it is done."""
-    p = df.select(key, X.chunk_prefixes(text).alias("p_"))
-    rows = p.select(key, F.size("p_").alias("n_"), F.posexplode("p_").alias("step", "prefix"))
-    return rows.select(key, "step", F.least(F.lit(95), F.round((F.col("step") + 1) / F.col("n_") * 95).cast("int")).alias("percent"), F.length("prefix").alias("written"))
+    """key, step, percent, written: progress of a text written in growing prefixes, 95 % at most until it is done, then 100."""
+    p = df.select(key, F.transform(X.chunk_prefixes(text), lambda x: F.length(x)).alias("p_"))
+    done = F.concat("p_", F.array(F.element_at("p_", -1)))
+    rows = p.select(key, F.size("p_").alias("n_"), F.posexplode(done).alias("step", "written"))
+    percent = F.when(F.col("step") == F.col("n_"), 100).otherwise(F.least(F.lit(95), F.round((F.col("step") + 1) / F.col("n_") * 95).cast("int")))
+    return rows.select(key, "step", percent.alias("percent"), "written")
+
+
+def answer_events(answers: DataFrame, key: str) -> DataFrame:
+    """key, seq, type, text: the events in which an answer is sent, numbered in their order.
+
+    ``answers``: key, route, content, status.  An edit is sent as growing patches, a chat as chunks, a workspace answer
+    as nothing but its result; a status comes first, then the pieces, a second status, and the result.
+    """
+    t = X.blank_to_empty("content")
+    prefixes = F.when(t == "", F.array().cast("array<string>")).otherwise(X.chunk_prefixes(t))
+    chunks = F.transform(prefixes, lambda x, i: F.when(i == 0, x).otherwise(F.substring(x, F.length(F.get(prefixes, i - 1)) + 1, F.lit(2147483647))))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    s = fixed.STREAM_STATUS
+    status = F.when(F.col("route") == "edit", s["edit"]).when(F.col("route") == "workspace", s["workspace"]).otherwise(s["chat"])
+    none = F.array().cast("array<struct<type:string,text:string>>")
+    pieces = F.when(F.col("route") == "edit", F.transform(prefixes, lambda x: event("patch", x))).when(F.col("route") == "chat", F.transform(chunks, lambda x: event("message_chunk", x))).otherwise(none)
+    second = F.when(F.col("route") == "workspace", none).otherwise(F.array(event("status", F.col("status"))))
+    every = F.concat(F.array(event("status", status)), pieces, second, F.array(event("result", t)))
+    return answers.select(key, F.posexplode(every).alias("seq", "e")).select(key, "seq", "e.type", "e.text")
+
+
+FIELD_OF = {"status": "status", "message_chunk": "chunk", "patch": "updatedContent", "result": "response"}
+
+
+def event_lines(events: DataFrame, key: str) -> DataFrame:
+    """key, seq, line: each event as one line of JSON, the text under the name that its type has for it."""
+    payload = F.struct(*[F.when(F.col("type") == kind, F.col("text")).alias(name) for kind, name in FIELD_OF.items()])
+    return events.select(key, "seq", F.to_json(F.struct("type", payload.alias("payload"))).alias("line"))
+
+
+def write_event_lines(stream: DataFrame, folder: str, checkpoint: str, key: str = "stream_id"):
+    """A running query that appends the events of a stream as files of JSON lines; each batch is written once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        event_lines(batch, key).orderBy(key, "seq").select("line").write.mode("overwrite").text(f"{folder}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def dispatched(lines: DataFrame, key: str = "stream_id", seq: str = "seq", line: str = "line", ended: str = "ended") -> DataFrame:
+    """key, seq, type, text of the lines of answers (key, seq, line, ended) that an event is taken from.
+
+    A last line without its line end (``ended`` false) counts only if it is a result.  Lines that are no JSON object
+    with a type give no row.
+    """
+    fields = ", ".join(f"{name} string" for name in FIELD_OF.values())
+    e = F.from_json(line, f"type string, payload struct<{fields}>")
+    text = F.coalesce(*[F.when(F.col("e.type") == kind, F.col(f"e.payload.{name}")) for kind, name in FIELD_OF.items()])
+    parsed = lines.withColumn("e", e).where(F.col("e.type").isin(*FIELD_OF))
+    return parsed.where(F.col(ended) | (F.col("e.type") == "result")).select(key, seq, F.col("e.type").alias("type"), text.alias("text"))
+
+
+def final_answers(requests: DataFrame, events: DataFrame, plain: DataFrame, key: str = "stream_id") -> DataFrame:
+    """key, content, streamed: the result of the stream, or where there is none that of a plain call (key, content)."""
+    result = events.where("type = 'result'").groupBy(F.col(key).alias("e_")).agg(F.max_by("text", "seq").alias("result"), F.lit(True).alias("got"))
+    p = plain.select(F.col(key).alias("p_"), F.col("content").alias("plain"))
+    j = requests.select(key).join(result, F.col(key) == F.col("e_"), "left").join(p, F.col(key) == F.col("p_"), "left")
+    return j.select(key, F.when(F.col("got"), F.col("result")).otherwise(F.col("plain")).alias("content"), F.coalesce("got", F.lit(False)).alias("streamed"))
 
 
 # --- streaming forms ---------------------------------------------------------------------------------------

@@ -98,7 +98,7 @@ def test_interface_and_proposals(spark):
 def test_progress(spark):
     df = spark.createDataFrame([(1, "a" * 1000), (2, ""), (3, None)], "k bigint, t string")
     got = [tuple(r) for r in E.progress(df, "k", "t").orderBy("k", "step").collect()]
-    assert got[:4] == [(1, 0, 24, 250), (1, 1, 48, 500), (1, 2, 71, 750), (1, 3, 95, 1000)] and got[4:] == [(2, 0, 95, 0), (3, 0, 95, 0)]
+    assert got[:5] == [(1, 0, 24, 250), (1, 1, 48, 500), (1, 2, 71, 750), (1, 3, 95, 1000), (1, 4, 100, 1000)] and got[5:] == [(2, 0, 95, 0), (2, 1, 100, 0), (3, 0, 95, 0), (3, 1, 100, 0)]
 
 
 def test_workspace_scan(spark, tmp_path):
