@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,35 +14,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import fixed
 
 
-def by_batch(df: DataFrame, schema: str, fn: Callable[..., Iterable[tuple]]) -> DataFrame:
-    """``fn(*column lists) -> rows`` on each Arrow batch of ``df``."""
-    struct = T._parse_datatype_string(schema)
-    out, width = to_arrow_schema(struct), len(df.columns)
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """A plain scan ``df`` in at least ``parts`` partitions (the cores of the session): small files are dealt out to all.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(fn(*[batch.column(i).to_pylist() for i in range(width)]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), out)], schema=out)
-
-    return df.mapInArrow(run, struct)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it is a plain scan of fewer parts than there are cores; anything else stays as it is.
-
-    Decided from sizes that the plan knows, without running it: a scan of many files or many bytes, and all that
-    is behind a shuffle, is never touched.
+    A scan that has that many partitions already, as every large one has, stays as it is, and so does what is no plain
+    scan.  It moves rows but never changes them.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    wanted = parts or df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
-    if any(op in plan.toString() for op in ("Aggregate", "Join", "Repartition", "Window", "Union", "LogicalRDD", "MapInArrow", "LocalRelation")):
-        return df
-    of_part = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if int(str(plan.stats().sizeInBytes())) // of_part >= cores or len(df.inputFiles()) >= cores:
+    if plan.collectLeaves().size() != 1 or any(op in plan.toString() for op in ("Aggregate", "Join", "Repartition", "Window", "Union", "LogicalRDD", "MapInArrow", "LocalRelation")):
         return df
-    return df.repartition(cores)
+    return df if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def tokenizer(aliases: dict[str, list[str]] = fixed.ALIASES, stopwords: Sequence[str] = fixed.STOPWORDS) -> Callable[[str], list[str]]:

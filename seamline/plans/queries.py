@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import profile as P
+from ..functions.arrow import spread
 from ..functions import text as X
 from ..operators import actions as A
 from ..operators import conversation as C
@@ -62,6 +63,15 @@ def _actions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return _t(spark, d, "file_actions").select("action_id", *columns)
 
 
+def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The same columns of the actions where their texts are worked on: over all cores, however small the scan."""
+    return spread(_actions(spark, d, *columns))
+
+
+def _snapshots(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(_t(spark, d, "file_snapshots").select("snapshot_id", *columns))
+
+
 def _once(df: DataFrame, key: str) -> DataFrame:
     """One row for each record; all columns of redelivered rows but the time of arrival are equal."""
     return df.dropDuplicates([key])
@@ -90,7 +100,7 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def _semantic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     q = _t(spark, d, "gen_requests").where(F.col("request_id") % ASKING == 0).select("workspace_root", "request_id", F.concat_ws("\n", F.nullif("prompt", F.lit("")), F.nullif("selected_text", F.lit(""))).alias("text"), X.holds_any("prompt", fixed.DOCUMENTATION_WORDS).alias("docs_wanted"))
-    f = _t(spark, d, "file_snapshots").select("workspace_root", "snapshot_id", F.col("relative_path").alias("path"), F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in ("relative_path", "reason", "excerpt")]).alias("text"))
+    f = _snapshots(spark, d, "workspace_root", "relative_path", "reason", "excerpt").select("workspace_root", "snapshot_id", F.col("relative_path").alias("path"), F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in ("relative_path", "reason", "excerpt")]).alias("text"))
     return q.where("workspace_root is not null"), f.where("workspace_root is not null")
 
 
@@ -130,7 +140,7 @@ def search_overview(spark: SparkSession, d: str) -> DataFrame:
 @query
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
     text = F.coalesce("full_content", F.lit(""))
-    return _once(_t(spark, d, "file_snapshots").select("snapshot_id", X.excerpt(text).alias("cut"), F.when(F.length(text) <= fixed.FULL_CONTENT_CHARS, "full").otherwise("excerpt").alias("mode")), "snapshot_id")
+    return _once(_snapshots(spark, d, "full_content").select("snapshot_id", X.excerpt(text).alias("cut"), F.when(F.length(text) <= fixed.FULL_CONTENT_CHARS, "full").otherwise("excerpt").alias("mode")), "snapshot_id")
 
 
 # --- requests ----------------------------------------------------------------------------------------------
@@ -185,7 +195,7 @@ def _assessed(spark: SparkSession, d: str) -> DataFrame:
     resp = _t(spark, d, "gen_responses").select("response_id", "request_id").dropDuplicates(["response_id"])
     req = _t(spark, d, "gen_requests").select(F.col("request_id").alias("q_id"), "active_file").dropDuplicates(["q_id"])
     active = resp.join(req, F.col("request_id") == F.col("q_id")).select("response_id", "active_file")
-    return K.assessed(_actions(spark, d, "response_id", "kind", "target_file", "original_content", "updated_content"), active=active)
+    return K.assessed(_texts(spark, d, "response_id", "kind", "target_file", "original_content", "updated_content"), active=active)
 
 
 @query
@@ -242,23 +252,23 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def written_lengths(spark: SparkSession, d: str) -> DataFrame:
     w = A.written_text("updated_content", "original_content")
-    return _once(_actions(spark, d, "original_content", "updated_content").select("action_id", F.length(w).cast("bigint").alias("n_chars"), F.md5(w).alias("digest")), "action_id")
+    return _once(_texts(spark, d, "original_content", "updated_content").select("action_id", F.length(w).cast("bigint").alias("n_chars"), F.md5(w).alias("digest")), "action_id")
 
 
 @query
 def line_diffs(spark: SparkSession, d: str) -> DataFrame:
-    return _once(D.unified(_actions(spark, d, "kind", "target_file", "original_content", "updated_content")).select("action_id", "diff"), "action_id")
+    return _once(D.unified(_texts(spark, d, "kind", "target_file", "original_content", "updated_content")).select("action_id", "diff"), "action_id")
 
 
 @query
 def diff_bounds(spark: SparkSession, d: str) -> DataFrame:
     names = ("old_lines", "new_lines", "prefix", "suffix", "removed", "added")
-    return _once(D.bounds(_actions(spark, d, "original_content", "updated_content")).select("action_id", *[F.col(n).cast("bigint").alias(n) for n in names]), "action_id")
+    return _once(D.bounds(_texts(spark, d, "original_content", "updated_content")).select("action_id", *[F.col(n).cast("bigint").alias(n) for n in names]), "action_id")
 
 
 @query
 def write_progress(spark: SparkSession, d: str) -> DataFrame:
-    p = E.progress(_actions(spark, d, "updated_content"), "action_id", "updated_content").dropDuplicates(["action_id", "step"])
+    p = E.progress(_texts(spark, d, "updated_content"), "action_id", "updated_content").dropDuplicates(["action_id", "step"])
     return p.select("action_id", *[F.col(n).cast("bigint").alias(n) for n in ("step", "percent", "written")])
 
 
@@ -364,7 +374,7 @@ def proposal_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def python_structure(spark: SparkSession, d: str) -> DataFrame:
-    a = _actions(spark, d, "target_file", "updated_content").where((X.suffix("target_file") == ".py") & F.col("updated_content").isNotNull()).select("action_id", P.python_structure("updated_content").alias("s"))
+    a = _texts(spark, d, "target_file", "updated_content").where((X.suffix("target_file") == ".py") & F.col("updated_content").isNotNull()).select("action_id", P.python_structure("updated_content").alias("s"))
     names = ("imports", "functions", "classes", "long_functions", "broad_excepts", "print_heavy")
     return _once(a, "action_id").select("action_id", "s.line_count", "s.char_count", "s.error_line", *[F.array_join(f"s.{n}", ",").alias(n) for n in names])
 
@@ -372,7 +382,7 @@ def python_structure(spark: SparkSession, d: str) -> DataFrame:
 @query
 def text_reports(spark: SparkSession, d: str) -> DataFrame:
     """Line count and notes of files that are not Python."""
-    f = _t(spark, d, "file_snapshots").where("full_content is not null and lower(suffix) <> '.py'")
+    f = _snapshots(spark, d, "full_content", "suffix").where("full_content is not null and lower(suffix) <> '.py'")
     n = P.split_line_count("full_content")
     return _once(f.select("snapshot_id", n.cast("bigint").alias("n_lines"), (F.col("full_content").contains("TODO") | F.col("full_content").contains("FIXME")).alias("unfinished"), (n > fixed.LONG_FILE_LINES).alias("long")), "snapshot_id")
 

@@ -156,7 +156,7 @@ def project_roots(spark: SparkSession, d: str) -> DataFrame:
 @query
 def file_reports(spark: SparkSession, d: str) -> DataFrame:
     """The report on each scanned file that is not Python."""
-    f = _t(spark, d, "file_snapshots").where("coalesce(lower(suffix), '') <> '.py'")
+    f = B._snapshots(spark, d, "absolute_path", "suffix", "full_content").where("coalesce(lower(suffix), '') <> '.py'")
     text = X.blank_to_empty("full_content")
     n = P.split_line_count("full_content")
     points = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(F.lit(fixed.GENERIC_POINT)))
