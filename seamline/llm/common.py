@@ -16,6 +16,8 @@ from ..functions.arrow import spread
 #: Rows of one Arrow batch handed to a Python worker.  Texts are up to about 120 kB, so a batch stays
 #: far under the memory of a worker, while short texts still share the cost of a batch.
 BATCH_ROWS = 400
+#: Bytes of one, which cells of any size fill alone.
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,16 @@ def once(df: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(repeated), same, "left_anti").unionAll(df.join(F.broadcast(repeated), same, "left_semi").dropDuplicates([key]))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds of an Arrow batch, by rows and by bytes, where the session still has Spark's own defaults."""
+    for name, default, value in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "-1", str(BATCH_BYTES))):
+        try:
+            if spark.conf.get(f"spark.sql.execution.arrow.{name}").lower() in (default, "9223372036854775807b", "9223372036854775807", "64mb", "67108864b", "256mb"):
+                spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+        except Exception:  # a version without this setting
+            continue
+
+
 def rows_by_batch(
     df: DataFrame, schema: T.StructType | str, fn: Callable[..., Iterable[tuple]]
 ) -> DataFrame:
@@ -74,7 +86,7 @@ def rows_by_batch(
     One call per batch and plain Python lists inside, so no object is built per cell by pandas.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     struct = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     names, out = list(df.columns), to_arrow_schema(struct)
 

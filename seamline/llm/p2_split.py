@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import once, rows_by_batch
+from ..functions.arrow import spread
+from .common import cut, once, rows_by_batch
 
 #: Characters that a decision about a boundary looks back or ahead at most, and of the halo on either side of a range.
 LOOK, HALO_CHARS = 128, 256
@@ -162,7 +163,7 @@ def _values(snapshots: DataFrame, limits: DataFrame, id_col: str, fields: tuple[
     number of fields.
     """
     bounded = limits.where(F.col("field_name").isin(*fields)).groupBy("field_name").agg(F.min("max_chars").cast("int").alias("max_chars"), F.max("overlap_chars").cast("int").alias("overlap_chars"))
-    long = snapshots.select(F.col(id_col).cast("bigint").alias("snapshot_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("v"))
+    long = spread(snapshots.select(id_col, *fields)).select(F.col(id_col).cast("bigint").alias("snapshot_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("v"))
     return (
         long.select("snapshot_id", "v.field_name", "v.value")
         .join(F.broadcast(bounded), "field_name")
@@ -183,7 +184,8 @@ def pieces(snapshots: DataFrame, limits: DataFrame, id_col: str = "snapshot_id",
     return rows_by_batch(_values(once(snapshots.select(id_col, *fields), id_col), limits, id_col, fields), PIECES, run)
 
 
-TABLE = "begin bigint, n_chars bigint, lim int, overlap int, found array<struct<at:bigint,strength:int>>, parted array<bigint>"
+#: ``found`` holds boundaries as 8 * offset + strength.
+TABLE = "begin bigint, n_chars bigint, lim int, overlap int, found array<bigint>, parted array<bigint>"
 
 
 def planned(ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,6 +195,7 @@ def planned(ranges: DataFrame, keys: list[str]) -> DataFrame:
     the numbers of pieces, are windows over narrow rows; tables are shuffled by range, then by block.
     """
     kinds = ", ".join(f"{k} {ranges.schema[k].dataType.simpleString()}" for k in keys)
+    ranges = cut(ranges)  # the items are read for these tables alone, which two steps need
     narrow = ranges.groupBy(*keys, "begin").agg(F.first("n_chars").alias("n_"))
     by = W.partitionBy(*keys)
     base = F.coalesce(F.sum("n_").over(by.orderBy("begin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -200,20 +203,20 @@ def planned(ranges: DataFrame, keys: list[str]) -> DataFrame:
 
     def by_block(*columns: list) -> Iterator[tuple]:
         for *key, n, lim, overlap, found, parted, base, length in zip(*columns):
-            for k, b, p in cut_tables(base, n, length, lim, [(x["at"], x["strength"]) for x in found], parted):
-                yield *key, k, length, lim, overlap, [{"at": o, "strength": s} for o, s in b], p
+            for k, b, p in cut_tables(base, n, length, lim, [(x >> 3, x & 7) for x in found], parted):
+                yield *key, k, length, lim, overlap, [8 * o + s for o, s in b], p
 
     tables = rows_by_batch(
-        placed.select(*keys, "n_chars", "lim", "overlap", "found", "parted", "base", "length"), f"{kinds}, block int, length bigint, lim int, overlap int, found array<struct<at:bigint,strength:int>>, parted array<bigint>", by_block
+        placed.select(*keys, "n_chars", "lim", "overlap", "found", "parted", "base", "length"), f"{kinds}, block int, length bigint, lim int, overlap int, found array<bigint>, parted array<bigint>", by_block
     )
     block = tables.groupBy(*keys, "block", "length", "lim", "overlap").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.flatten(F.collect_list("parted")).alias("parted"))
 
-    def cut(*columns: list) -> Iterator[tuple]:
+    def cuts_of(*columns: list) -> Iterator[tuple]:
         for *key, k, length, lim, overlap, found, parted in zip(*columns):
-            cuts = [{"start": s, "end": e, "kind": KINDS[w]} for s, e, w in plan(k, length, [b["at"] for b in found], [b["strength"] for b in found], set(parted), lim, overlap)]
+            cuts = [{"start": s, "end": e, "kind": KINDS[w]} for s, e, w in plan(k, length, [b >> 3 for b in found], [b & 7 for b in found], set(parted), lim, overlap)]
             yield *key, k, lim, len(cuts), cuts
 
-    return rows_by_batch(block, f"{kinds}, block int, lim int, n int, cuts array<struct<start:bigint,end:bigint,kind:string>>", cut)
+    return rows_by_batch(block, f"{kinds}, block int, lim int, n int, cuts array<struct<start:bigint,end:bigint,kind:string>>", cuts_of)
 
 
 def numbered(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -232,7 +235,7 @@ def value_blocks(snapshots: DataFrame, limits: DataFrame, id_col: str = "snapsho
             for begin in range(0, len(text), RANGE_CHARS):
                 left, n = max(0, begin - HALO_CHARS), min(RANGE_CHARS, len(text) - begin)
                 found, parted = scan(text[left : begin + n + HALO_CHARS], begin - left, begin - left + n, m)
-                yield i, name, begin, n, m, o, [{"at": a, "strength": s} for a, s in found], parted
+                yield i, name, begin, n, m, o, [8 * a + s for a, s in found], parted
 
     return planned(rows_by_batch(_values(snapshots, limits, id_col, fields), f"snapshot_id bigint, field_name string, {TABLE}", tables), ["snapshot_id", "field_name"])
 
@@ -292,7 +295,7 @@ def file_pieces(files: DataFrame, limit: int, overlap: int, range_bytes: int = R
             for k in range(0, len(body) - MARK_CHARS, MARK_CHARS):
                 marks.append((k + MARK_CHARS, marks[-1][1] + len(body[k : k + MARK_CHARS].encode("utf-8"))))
             found, parted = scan(before + body + right.decode("utf-8", "replace"), len(before), len(before) + len(body), limit)
-            yield path, begin, len(body), limit, overlap, [{"at": a, "strength": s} for a, s in found], parted, [{"at": a, "byte": b} for a, b in marks]
+            yield path, begin, len(body), limit, overlap, [8 * a + s for a, s in found], parted, [{"at": a, "byte": b} for a, b in marks]
 
     scanned = rows_by_batch(ranges.repartition(tasks, "path", "begin"), f"path string, {TABLE}, marks array<struct<at:bigint,byte:bigint>>", tables)
     pieces_ = numbered(planned(scanned.drop("marks"), ["path"]), ["path"])
