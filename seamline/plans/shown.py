@@ -10,6 +10,7 @@ from ..functions import context as CX
 from ..functions import fixed
 from ..functions import profile as P
 from ..functions import text as X
+from ..functions.arrow import spread
 from ..operators import actions as A
 from ..operators import planning as L
 from ..operators import rendering as N
@@ -19,6 +20,7 @@ from ..operators import risk as K
 from ..operators import tabular as T
 from ..sources.shared import cut
 from ..streaming import emission as E
+from . import pipeline as PL
 from . import queries as B
 from .queries import ASKING, _t, query
 
@@ -223,6 +225,18 @@ def demo_actions(spark: SparkSession, d: str) -> DataFrame:
     return A.demo_actions(r, "x = 1\n", name="rank_column.py")
 
 
+@query
+def pipeline_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The answers of the whole pipeline to all asking requests, with the completer that needs no model."""
+    asking = spread(_t(spark, d, "gen_requests").where(F.col("request_id") % ASKING == 0).select("request_id", "prompt", "selected_text", "active_file", "full_document_text", "workspace_root")).dropDuplicates(["request_id"])
+    files = _t(spark, d, "file_snapshots").where("workspace_root is not null and relative_path is not null")
+    roots = asking.select(F.col("workspace_root").alias("a_root")).distinct()
+    columns = ("snapshot_id", "absolute_path", "suffix", "size_bytes", "full_content")
+    newest = files.join(roots, F.col("workspace_root") == F.col("a_root"), "left_semi").groupBy("workspace_root", "relative_path").agg(F.max_by(F.struct(*columns), "snapshot_id").alias("f"))
+    a = PL.answers(asking, cut(newest.select("workspace_root", "relative_path", *[f"f.{c}" for c in columns])))
+    return a.select("request_id", "route", "mood", F.col("action_count").cast("bigint").alias("action_count"), "requires_confirmation", "proposal_summary")
+
+
 # --- events ------------------------------------------------------------------------------------------------
 
 

@@ -52,24 +52,32 @@ def contents(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
     return chosen.select("absolute_path").join(raw, F.col("absolute_path") == F.col("p_")).select("absolute_path", P.decoded("content").alias("full_content"))
 
 
+def _system(spark: SparkSession, path: str):
+    """(file system, path) of an address of any store that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 STUDENT = "name string, math string, english string, python string, python_score string"
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON array; no rows for a missing file, nulls for what does not parse."""
-    if not os.path.exists(path):
+    system, place = _system(spark, path)
+    if not system.exists(place):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
 def write_json_array(df: DataFrame, path: str, order: str) -> None:
-    """One pretty array in one file, for small tables: rows in the order of a column."""
+    """One pretty array in one file of any store, for small tables: rows in the order of a column."""
     import json
 
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     rows = [json.loads(r[0]) for r in df.orderBy(order).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=2)
+    system, place = _system(df.sparkSession, path)
+    out = system.create(place, True)
+    out.write(bytearray(json.dumps(rows, ensure_ascii=False, indent=2).encode()))
+    out.close()
 
 
 PROFILE_FIELDS = ("provider", "runtime_model", "fallback_model", "base_model", "description", "adapter_path", "modelfile_path", "train_data_dir", "eval_data_dir")

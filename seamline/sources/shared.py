@@ -9,6 +9,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir``; a folder of our own is set only where none is, as in tests."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not where:
         import os
         import tempfile
