@@ -67,9 +67,19 @@ def prose(text: str) -> str:
     return _CODE.sub(" ", text)
 
 
+#: Languages that their script tells, and a share of Chinese characters that each may stand among.
+_SCRIPTS = {"ja": re.compile(r"[ぁ-ヿ]"), "ko": re.compile(r"[가-힯]"), "ru": re.compile(r"[Ѐ-ӿ]"), "el": re.compile(r"[Ͱ-Ͽ]"), "ar": re.compile(r"[؀-ۿ]"), "hi": re.compile(r"[ऀ-ॿ]"), "th": re.compile(r"[฀-๿]")}
+
+
 def languages(text: str) -> tuple[str | None, str | None]:
     """Language of the prose of ``text`` by script and by function words; None where there is too little."""
     words = prose(text)
+    if not words.isascii():
+        letters = len(re.findall(r"[A-Za-zÀ-ÿ]", words))
+        for lang, pattern in _SCRIPTS.items():
+            n = len(pattern.findall(words))
+            if n >= 4 and n > letters and 5 * n >= len(re.findall(r"[一-鿿]", words)):
+                return lang, lang
     han, latin = len(re.findall(r"[一-鿿]", words)), re.findall(r"[A-Za-zÀ-ÿ’]{1,}", words)
     script = None
     if han + len(latin) >= 3:
@@ -143,7 +153,7 @@ _CANNOT = re.compile(
     r"|\bI (?:can(?:no|'|’)t|can not|won(?:'|’)t|must decline|have to decline|must refuse|refuse)\b|\bI(?:(?:'|’)d| would) (?:rather|prefer) not\b|\bsomething I cannot\b|outside of what I|\bnot something I can\b|\b(?:my )?(?:guidelines|policy|policies) do(?:es)? not (?:permit|allow)"
     r"|(?:抱歉|对不起|很遗憾|恕|作为(?:一[个名])?(?:助手|AI|人工智能))[^。！？\n]{0,20}(?:无法|不能|没有办法|没办法|不便|拒绝|不可以)|我[^。！？\n]{0,8}(?:无法|没有办法|不便|拒绝)[^。！？\n]{0,10}(?:帮助|协助|回答|完成|提供|请求|操作|处理)|超出[^。！？\n]{0,3}我[^。！？\n]{0,12}范围"
     r"|\b(?:kann|darf|werde|möchte)\s+(?:ich|dabei|das|dies\w*|Ihnen|dir)\b[^.!?\n]{0,50}\bnicht\b|\bich\s+(?:kann|darf|werde|muss)\b[^.!?\n]{0,60}\b(?:nicht|ablehnen|verweigern)\b|\bmuss ich\b[^.!?\n]{0,40}\b(?:ablehnen|verweigern|absagen)\b"
-    r"|\bje ne (?:peux|puis|suis)\b[^.!?\n]{0,20}\bpas\b|\bje (?:dois|suis)\b[^.!?\n]{0,40}\b(?:refuser|décliner)\b|\bil m.est impossible\b|\bno puedo\b[^.!?\n]{0,30}\b(?:ayudar|responder)\w*|\bnão posso\b[^.!?\n]{0,30}\b(?:ajudar|responder)\w*"
+    r"|\bje ne (?:peux|puis|suis)\b[^.!?\n]{0,20}\bpas\b|\bje (?:dois|suis)\b[^.!?\n]{0,40}\b(?:refuser|décliner)\b|\bil m.est impossible\b|\bno (?:puedo|podemos|me es posible)\b[^.!?\n]{0,30}\b(?:ayudar|responder|realizar|hacer|completar|cumplir|atender|proporcionar|ejecutar)\w*|\bnão (?:posso|podemos)\b[^.!?\n]{0,30}\b(?:ajudar|responder|realizar|fazer|concluir|atender|fornecer|executar)\w*"
 )
 _POLITE = re.compile(
     r"(?i)\b(?:hope you understand|let me know|something else you need|(?:please )?ask (?:a|your|the)|contact|usage rules|guidelines|violate|policy|not able to do that|outside of)\b|希望你|希望您|能理解|如果有其他|请告诉我|建议联系|请联系|违反|规范|谅解"
@@ -186,7 +196,7 @@ def _language(prompt: str | None, text: str) -> tuple[int, ...]:
     script, lang = languages(text)
     if want is None or script is None:
         return 0, 0, 0
-    wanted_script = "zh" if want == "zh" else "latin"
+    wanted_script = want if want == "zh" or want in _SCRIPTS else "latin"
     by_script = 1 if script != wanted_script else 0 if script == "latin" else -1
     by_words = 0 if lang is None else 1 if lang != want else -1
     # every sentence by itself: the majority of those with an opinion

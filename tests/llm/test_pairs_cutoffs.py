@@ -96,3 +96,9 @@ def test_one_answer_keeps_two_labels(spark):
 
 def test_short_prompts_can_be_copied(spark):
     assert p4._copies("Fix it", "fix it!") == (1, 1, 1, 1) and p4._copies("Fix it", "Done.")[0] == -1 and p4._copies("", "x") == (0, 0, 0, 0)
+
+
+def test_languages_by_script_and_refusals_in_spanish():
+    assert p4.languages("これは設定ファイルを読み込む処理です。")[1] == "ja" and p4.languages("Эта функция читает файл настроек.")[1] == "ru" and p4.languages("这个函数读取配置文件并保存。")[1] == "zh"
+    assert p4._language("请说明这个函数如何读取配置文件。", "これは設定ファイルを読み込む処理です。")[0] == 1
+    assert p4._refusal("Lo siento, no puedo realizar esta tarea.")[0] == 1 and p4._refusal("Infelizmente não posso fazer isso.")[0] == 1
