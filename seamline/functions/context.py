@@ -62,7 +62,7 @@ def status_of_mood(mood: str) -> Column:
 
 def expression_of_status(status: str, streaming: str) -> Column:
     s = X.blank_to_empty(status)
-    return F.when(F.col(streaming), "speaking").when(s.contains("思考"), "thinking").when(X._any(s, ["应用", "写回", "执行"]), "acting").otherwise("idle")
+    return F.when(F.col(streaming), "speaking").when(s.contains(fixed.THINKING_WORD), "thinking").when(X._any(s, fixed.ACTING_WORDS), "acting").otherwise("idle")
 
 
 def display_status(proposal_streaming: str, local: str, status: str) -> Column:

@@ -103,14 +103,17 @@ FIRST_SNAPSHOT, NEXT_SNAPSHOT, LINE_SNAPSHOT = 24, 120, 48
 DIFF_CONTEXT, DIFF_LINES = 2, 160
 HISTORY_TURNS = 6
 CHUNK_CHARS, FEWEST_CHUNKS, MOST_CHUNKS = 900, 4, 12
+THINKING_WORD, ACTING_WORDS = "思考", ["应用", "写回", "执行"]
 BUSY_WORDS, IDLE_WORDS = ["发送", "思考", "检索", "生成", "规划", "分析", "应用", "写回", "执行", "流式", "patch", "处理中"], ["待命", "已响应"]
 CONTEXT_EXCERPT_CHARS, CONTEXT_FULL_CHARS = 4000, 18000
 LONG_FUNCTION_LINES, MANY_PRINTS, LONG_FILE_LINES = 25, 3, 220
 GRADES = [(90, "A"), (80, "B"), (70, "C")]
-HISTORY_LABELS = {"overall": "整体风险：", "planned": "共生成 ", "planned_end": " 个待确认变更"}
+PROPOSAL_LABELS = {"overall": "整体风险：", "planned": "共生成 ", "planned_end": " 个待确认变更"}
 
 # Patterns of tagged text and of thoughts
 THOUGHT, OPEN_THOUGHT, SUMMARY_BLOCK = r"(?s)<think>.*?</think>", r"(?s)<think>.*\z", r"(?is)<summary>.*?</summary>"
+FILE_EDGES = [r"(?i)\A\s*<(?:updated_content|updated_file)>\s*", r"(?i)\s*</(?:updated_content|updated_file)>\s*\z", r"\A\s*```[^\n]*\n", r"\n```?\s*\z"]
+WHOLE_FENCE, CODE_BLOCK = r"(?s)\A```[^\n]*\n(.*?)\n```\z", r"(?s)```[^\n]*\n(.*?)\n```"
 
 # Texts that are shown
 FALLBACK_FILES, FALLBACK_SCORE, FALLBACK_REASON = ["README.md", "backend/service.py", "src/extension.ts"], 10, "默认关键文件"

@@ -172,20 +172,20 @@ def blocks(x: C, name: str) -> Column:
 def unwrapped(x: C) -> Column:
     """Without a code fence around the whole text."""
     t = strip(x)
-    inner = F.regexp_extract(t, r"(?s)\A```[^\n]*\n(.*?)\n```\z", 1)
-    return F.when(t.rlike(r"(?s)\A```[^\n]*\n(.*?)\n```\z"), strip(inner)).otherwise(t)
+    inner = F.regexp_extract(t, fixed.WHOLE_FENCE, 1)
+    return F.when(t.rlike(fixed.WHOLE_FENCE), strip(inner)).otherwise(t)
 
 
 def file_body(x: C) -> Column:
     """Without line ends around, nor a code fence around the whole."""
     edge = lambda c: F.regexp_replace(c, r"^[\r\n]+|[\r\n]+\z", "")
     t = edge(_c(x))
-    return F.when(t.rlike(r"(?s)\A```[^\n]*\n(.*?)\n```\z"), edge(F.regexp_extract(t, r"(?s)\A```[^\n]*\n(.*?)\n```\z", 1))).otherwise(t)
+    return F.when(t.rlike(fixed.WHOLE_FENCE), edge(F.regexp_extract(t, fixed.WHOLE_FENCE, 1))).otherwise(t)
 
 
 def largest_code_block(x: C) -> Column:
     """The longest fenced block, the first of equals; empty if there is none."""
-    found = F.regexp_extract_all(_c(x), F.lit(r"(?s)```[^\n]*\n(.*?)\n```"), F.lit(1))
+    found = F.regexp_extract_all(_c(x), F.lit(fixed.CODE_BLOCK), F.lit(1))
     best = F.aggregate(found, F.lit(""), lambda acc, b: F.when(F.length(b) > F.length(acc), b).otherwise(acc))
     return F.regexp_replace(best, r"^[\r\n]+|[\r\n]+\z", "")
 
@@ -215,19 +215,19 @@ def action_kind(x: C) -> Column:
 
 def without_thoughts(x: C) -> Column:
     """Without complete think spans; the text itself if nothing else is left."""
-    cut = strip(F.regexp_replace(_c(x), r"(?s)<think>.*?</think>\s*", ""))
+    cut = strip(F.regexp_replace(_c(x), fixed.THOUGHT + r"\s*", ""))
     return F.when(cut == "", strip(x)).otherwise(cut)
 
 
 def partial_chat(x: C) -> Column:
     """Without think spans, also one that has no end yet."""
-    return F.regexp_replace(F.regexp_replace(_c(x), r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*\z", "")
+    return F.regexp_replace(F.regexp_replace(_c(x), fixed.THOUGHT, ""), fixed.OPEN_THOUGHT, "")
 
 
 def partial_file(x: C) -> Column:
     """The file content in the beginning of a model's answer."""
-    out = F.regexp_replace(partial_chat(x), r"(?is)<summary>.*?</summary>\s*", "")
-    for pattern in (r"(?i)\A\s*<(?:updated_content|updated_file)>\s*", r"(?i)\s*</(?:updated_content|updated_file)>\s*\z", r"\A\s*```[^\n]*\n", r"\n```?\s*\z"):
+    out = F.regexp_replace(partial_chat(x), fixed.SUMMARY_BLOCK + r"\s*", "")
+    for pattern in fixed.FILE_EDGES:
         out = F.regexp_replace(out, pattern, "")
     return strip(out)
 

@@ -35,7 +35,7 @@ def single_file(df: DataFrame, text: str, strict_tags: bool = False) -> DataFram
     """``df`` with file_summary and file_content: the tagged content, else the longest fenced block, else the text without its summary."""
     body = X.repaired_tags(X.unwrapped(text), strict_tags)
     tagged = X.file_body(F.coalesce(F.nullif(X.tag(body, "updated_content"), F.lit("")), X.tag(body, "updated_file")))
-    rest = X.strip(F.regexp_replace(body, r"(?is)<summary>.*?</summary>", ""))
+    rest = X.strip(F.regexp_replace(body, fixed.SUMMARY_BLOCK, ""))
     content = F.coalesce(F.nullif(tagged, F.lit("")), F.nullif(X.largest_code_block(body), F.lit("")), rest)
     return df.withColumns({"file_summary": X.strip(X.tag(body, "summary")), "file_content": X.strip(content)})
 
@@ -55,8 +55,3 @@ def model_lines(df: DataFrame, line: str = "value") -> DataFrame:
     """The message contents of a model's NDJSON stream; blank lines and empty contents are skipped."""
     content = F.get_json_object(X.strip(line), "$.message.content")
     return df.select(content.alias("content")).where("content is not null and content <> ''")
-
-
-def encoded_event(kind: str, payload: str):
-    """One event as a line of JSON."""
-    return F.to_json(F.struct(F.col(kind).alias("type"), F.col(payload).alias("payload")))

@@ -145,7 +145,7 @@ def proposal_summaries(actions: DataFrame, batches: DataFrame, batch: str = "res
     lines = first.groupBy(F.col(batch).alias("l_")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_", line.alias("t")))), lambda x: x["t"]), fixed.LABEL_SEPARATOR).alias("lines"))
     n = fixed.RISK_NAMES
     name = F.when(F.col("level") == "high", n["high"]).when(F.col("level") == "medium", n["medium"]).otherwise(n["low"])
-    lab = fixed.HISTORY_LABELS
+    lab = fixed.PROPOSAL_LABELS
     head = F.concat(F.lit(lab["planned"]), F.col("actions").cast("string"), F.lit(lab["planned_end"] + fixed.LABEL_SEPARATOR + lab["overall"]), name, F.lit("（"), overall_reason("actions", "folders", "any_high", "any_signature"), F.lit("）" + fixed.LABEL_SEPARATOR))
     return batches.join(lines, F.col(batch) == F.col("l_")).select(batch, F.concat(head, "lines").alias("proposal"))
 

@@ -34,7 +34,3 @@ def class_average(df: DataFrame, *columns: str) -> DataFrame:
 def find_first(df: DataFrame, column: str, value, order: str) -> DataFrame:
     """The first row with a value; no row if there is none."""
     return df.where(F.col(column) == value).orderBy(order).limit(1)
-
-
-def report_line(name: str, *columns: str) -> Column:
-    return F.concat_ws(" | ", F.col(name), *[F.col(c).cast("string") for c in columns], F.format_string("%.2f", row_average(*columns)), X.grade(row_average(*columns)))

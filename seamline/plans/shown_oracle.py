@@ -153,7 +153,7 @@ def _file_reports() -> str:
 
 
 def _proposals() -> str:
-    r, lab, n = fixed.OVERALL_REASONS, fixed.HISTORY_LABELS, fixed.RISK_NAMES
+    r, lab, n = fixed.OVERALL_REASONS, fixed.PROPOSAL_LABELS, fixed.RISK_NAMES
     parts = f"list_filter([case when actions > 1 then {_q(r['many'][0])} || actions || {_q(r['many'][1])} end, case when folders > 1 then {_q(r['wide'])} end, case when any_high then {_q(r['high'])} end, case when any_signature then {_q(r['signature'])} end], lambda x: x is not null)"
     why = f"case when len({parts}) = 0 then {_q(r['none'])} else array_to_string(({parts})[1:{fixed.OVERALL_PARTS}], {_q(fixed.OVERALL_SEPARATOR)}) end"
     risk = O._risk() + O._BATCH.replace("\nselect response_id", ", bt as (select response_id", 1).rstrip() + ")"

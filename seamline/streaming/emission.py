@@ -18,16 +18,21 @@ from ..functions import fixed
 from ..functions import text as X
 
 
+def _python(pattern: str) -> str:
+    """A pattern of ``fixed`` as Python writes the end of a text."""
+    return pattern.replace(r"\z", r"\Z")
+
+
 def clean_chat(text: str) -> str:
     """Answer so far without think spans."""
-    return re.sub(r"(?s)<think>.*\Z", "", re.sub(r"(?s)<think>.*?</think>", "", text))
+    return re.sub(_python(fixed.OPEN_THOUGHT), "", re.sub(fixed.THOUGHT, "", text))
 
 
 def clean_file(text: str) -> str:
     """File content so far."""
-    out = re.sub(r"(?is)<summary>.*?</summary>\s*", "", clean_chat(text))
-    for pattern in (r"(?i)\A\s*<(?:updated_content|updated_file)>\s*", r"(?i)\s*</(?:updated_content|updated_file)>\s*\Z", r"\A\s*```[^\n]*\n", r"\n```?\s*\Z"):
-        out = re.sub(pattern, "", out)
+    out = re.sub(fixed.SUMMARY_BLOCK + r"\s*", "", clean_chat(text))
+    for pattern in fixed.FILE_EDGES:
+        out = re.sub(_python(pattern), "", out)
     return out.strip()
 
 

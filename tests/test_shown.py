@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from seamline.functions import fixed
 from seamline.operators import actions as A
+from seamline.operators import parsing as G
 from seamline.operators import rendering as N
 from seamline.operators import requests as Q
 from seamline.operators import retrieval as R
 from seamline.plans import pipeline as P
+from seamline.sources import files
 from seamline.streaming import emission as E
 from seamline.streaming import sessions as S
 
@@ -148,3 +150,30 @@ def test_rankings_of_candidates(spark):
     got = {r["request_id"]: r for r in P.rankings(req, files, cand).collect()}
     assert got[1]["prompt_text"].startswith(fixed.QUERY_HEAD) and "report.py (score=" in got[1]["prompt_text"] and got[1]["summary"].endswith("report.py")
     assert got[2]["prompt_text"] == fixed.NO_RANKING and got[2]["summary"] == ""
+
+
+def test_lines_of_a_model_as_a_stream(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.ndjson").write_text('{"message":{"content":"he"}}\n\n  {"message":{"content":""}}\nnot json\n{"message":{"content":"y"}}\n')
+    q = G.model_lines(files.lines_stream(spark, str(src))).writeStream.format("memory").queryName("model_lines").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r["content"] for r in spark.table("model_lines").collect()] == ["he", "y"]
+
+
+def test_streamed_proposals(spark, tmp_path):
+    schema = "session_id bigint, seq bigint, type string"
+    spark.createDataFrame([(1, 0, "patch"), (1, 1, "proposal"), (2, 0, "patch"), (2, 1, "apply"), (3, 0, "proposal"), (3, 1, "discard")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = S.proposal_states(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("proposals").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r["session_id"]: (r["open"], r["appliable"]) for r in spark.table("proposals").collect()} == {1: (True, True), 2: (True, False), 3: (False, False)}
+
+
+def test_presets_and_roots(spark):
+    p = spark.createDataFrame([(0, "a", "A", "file:///o/x.png", "https://h/m")], "ordinal int, id string, label string, avatar string, model string")
+    assert [r["id"] for r in N.with_custom_preset(p, "file:///m.vrm", "d").orderBy("ordinal").collect()] == [fixed.CUSTOM_PRESET, "a"] and N.with_custom_preset(p, None, "d").count() == 1
+    res = spark.createDataFrame([(3, "file:///o/b"), (1, "file:///o/a"), (2, "https://h/x"), (4, "")], "o int, path string")
+    assert [tuple(r) for r in N.local_roots(res, "path", "o").collect()] == [(1, "/o")]
+    assert spark.range(1).select(N.embedded_json(F.lit("a</script>"))).first()[0] == "a\\u003c/script>"
