@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; a folder of our own is set only where none is, as in tests."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
+
+    Only where it is unset on one machine, as in tests, a folder of our own is set.
+    """
+    sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
+    if not where and not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not where:
-        import os
-        import tempfile
-
         where = "file://" + os.path.join(tempfile.gettempdir(), "seamline-checkpoints")
         spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(where)
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, with its lineage cut; survives the loss of executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
