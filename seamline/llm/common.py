@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.arrow import spread
+from ..sources.shared import cut, shared_dir
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "bound_batches", "cut", "once", "rows_by_batch", "shared_dir", "table"]
 
 #: Rows of one Arrow batch handed to a Python worker.  Texts are up to about 120 kB, so a batch stays
 #: far under the memory of a worker, while short texts still share the cost of a batch.
@@ -24,31 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
-
-    Only where it is unset, as in tests on one machine, a folder of our own is set.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    if not where:
-        import tempfile
-
-        where = "file://" + os.path.join(tempfile.gettempdir(), "seamline-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, with its lineage cut; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Repeated ids that are sent to all tasks at most; beyond it rows are shuffled.
 MOST_REPEATED = 1_000_000
 
