@@ -3,9 +3,9 @@
 Method: a minimal acyclic transducer as lexicon.  Frequent words are encoded once and compiled into an automaton that
 shares prefixes and suffixes; its arrays lie in one file of the shared folder, which Spark hands to every worker and
 each of them memory-maps.  A batch looks up all its distinct words at once, one character position after the other.
-Words that the automaton does not accept are merged exactly by the ranks of the vocabulary.  The ids therefore never
-depend on what the lexicon holds, only the speed does; so its words are counted on at most ``LEXICON_ROWS`` rows, drawn
-by the hash of their id.  ``word_counts`` counts those of all documents.
+Words that the automaton does not accept are merged exactly by the ranks of the vocabulary.  The words of the lexicon
+are the most frequent ones of all documents.  Texts fall into words in array steps over the code points of many texts,
+with the results of the published pattern, so that counting every document costs less than encoding it.
 
 The tokenizer's vocabulary is read from the folder of the public tokenizers, which is a parameter.  Special
 tokens do not exist here: their strings are ordinary text.
@@ -20,7 +20,6 @@ import hashlib
 import heapq
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.arrow import spread
-from .common import bound_batches, rows_by_batch, shared_dir
+from .common import bound_batches, shared_dir
 
 TOKENIZERS_DIR = os.environ.get("SEAMLINE_TOKENIZERS", "/opt/tokenizers")
 #: How text falls into words before merging: the published pattern of the byte-level vocabularies.
@@ -42,10 +41,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _WORDS = regex.compile(PATTERN)
 #: Words that the lexicon holds at most, and bytes of the longest of them.
 LEXICON_WORDS, LEXICON_BYTES = 65_536, 48
-#: Rows that the words of the lexicon are counted on, about.
-LEXICON_ROWS = 20_000
 #: Merged words that a worker remembers besides.
 REMEMBERED = 100_000
+#: Bytes of the texts that are split at once; a longer text is split alone.
+SPLIT_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -87,6 +86,76 @@ def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return out
 
 
+# --- words -------------------------------------------------------------------------------------------------
+
+SPACE, BLANK, LETTER, NUMBER, OTHER = range(5)
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """Kind of every code point as the pattern's own engine sees it; a space is told from other white space."""
+    every = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.full(len(every), OTHER, dtype=np.uint8)
+    for kind, pattern in ((BLANK, r"\S+|(\s+)"), (LETTER, r"\P{L}+|(\p{L}+)"), (NUMBER, r"\P{N}+|(\p{N}+)")):
+        for m in regex.finditer(pattern, every):
+            if m.lastindex:
+                out[m.start() : m.end()] = kind
+    out[0x20] = SPACE
+    return out
+
+
+def _word_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Flags of the code points that begin a word by ``PATTERN``; ``begins`` flags those that begin a text, and one past the last.
+
+    White space before something else gives its last character away: to the word behind it if it is a space, else as a
+    word of its own.  An apostrophe that begins a word takes the letters of a contraction with it.
+    """
+    kind = kinds()[points]
+    blank = kind <= BLANK
+    starts = begins[:-1].copy()
+    before, here = kind[:-1], kind[1:]
+    changed = np.where(blank[1:], ~blank[:-1], (before != here) & (before != SPACE))
+    changed[:-1] |= blank[:-2] & blank[1:-1] & ~blank[2:] & ~begins[2:-1]
+    starts[1:] |= changed
+    marks = np.flatnonzero((points == 0x27) & starts)
+    marks = marks[~begins[marks + 1]]
+    first = points[marks + 1]
+    one = np.isin(first, [0x73, 0x74, 0x6D, 0x64])  # 's 't 'm 'd
+    wide = marks[~one & ~begins[marks + 2]]
+    lead, tail = points[wide + 1], points[wide + 2]
+    wide = wide[(tail == 0x65) & ((lead == 0x72) | (lead == 0x76)) | (tail == 0x6C) & (lead == 0x6C)]  # 're 've 'll
+    ends = np.concatenate((marks[one] + 2, wide + 3))
+    starts[np.concatenate((marks[one], wide)) + 1] = False
+    starts[ends[ends < len(points)]] = True
+    return starts
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of words of each text, all words): what ``PATTERN`` finds, as slices of the bytes the texts lie in."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n, (_, at, data) = len(texts), texts.buffers()
+    if not n or data is None:
+        return np.zeros(n, dtype=np.int64), pa.array([], pa.large_string())
+    offsets = np.frombuffer(at, dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)
+    counts, found, row = np.zeros(n, dtype=np.int64), [], 0
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SPLIT_BYTES, side="right")) - 1)
+        part = raw[offsets[row] : offsets[end]]
+        if len(part):
+            points = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+            place = np.flatnonzero((part & 0xC0) != 0x80)  # byte that each code point begins at
+            first = np.searchsorted(place, offsets[row : end + 1] - offsets[row])
+            begins = np.zeros(len(points) + 1, dtype=bool)
+            begins[first] = True
+            words = np.flatnonzero(_word_starts(points, begins))
+            counts[row:end] = np.diff(np.searchsorted(words, first))
+            found.append(place[words] + offsets[row])
+        row = end
+    bounds = np.concatenate((*found, offsets[-1:])).astype(np.int64)
+    return counts, pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), data)
+
+
 # --- the transducer ----------------------------------------------------------------------------------------
 
 
@@ -206,23 +275,22 @@ def look_up(lexicon: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
 
 def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents; counted in the task first, so only distinct words are shuffled."""
+    struct = _parse_datatype_string("word string, n bigint")
+    out = to_arrow_schema(struct)
 
-    def run(texts: list) -> Iterator[tuple]:
-        counts: Counter[str] = Counter()
-        for t in texts:
-            if t:
-                counts.update(_WORDS.findall(t))
-        yield from counts.items()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = split(batch.column(0))[1].value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values").cast(out.field(0).type), counts.field("counts")], schema=out)
 
+    bound_batches(documents.sparkSession)
     source = documents.select(F.col(text_col).cast("string").alias("text")).where("text <> ''")
-    return rows_by_batch(source, "word string, n bigint", run).groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(source).mapInArrow(run, struct).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS, rows: int = LEXICON_ROWS) -> list[str]:
-    """The most frequent words of about ``rows`` documents, at most ``words`` of them, each short and seen twice or more."""
-    every = max(1, documents.count() // rows)
-    drawn = documents.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0) if every > 1 else documents
-    top = word_counts(drawn.select(text_col), text_col).where((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES)).orderBy(F.desc("n"), "word").limit(words)
+def frequent_words(documents: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> list[str]:
+    """The most frequent words of all documents, at most ``words`` of them, each short and seen twice or more."""
+    top = word_counts(documents, text_col).where((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES)).orderBy(F.desc("n"), "word").limit(words)
     return [r["word"] for r in top.collect()]
 
 
@@ -271,19 +339,13 @@ class Encoder:
         self.lexicon, self.rank = lexicon, ranks(name, folder)
         self.remembered: dict[bytes, list[int]] = {}
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids)."""
-        index: dict[str, int] = {}
-        place: list[int] = []
-        words_of = np.zeros(len(texts), dtype=np.int64)
-        for k, t in enumerate(texts):
-            if t:
-                found = _WORDS.findall(t)
-                words_of[k] = len(found)
-                place += [index.setdefault(w, len(index)) for w in found]
-        if not place:
-            return np.zeros(len(texts), dtype=np.int64), np.zeros(0, dtype=np.int32)
-        words = [w.encode("utf-8", "surrogatepass") for w in index]
+        words_of, found = split(texts)
+        if not len(found):
+            return words_of, np.zeros(0, dtype=np.int32)
+        found = found.dictionary_encode()
+        words = found.dictionary.cast(pa.large_binary()).to_pylist()
         number = look_up(self.lexicon, words)
         offset = self.lexicon["offset"]
         known = number >= 0
@@ -305,7 +367,7 @@ class Encoder:
             start[i], size[i] = base + len(fresh), len(ids)
             fresh += ids
         pool = np.concatenate((self.lexicon["ids"], np.array(fresh, dtype=np.int32)))
-        at = np.array(place, dtype=np.int64)
+        at = found.indices.to_numpy()
         sizes = size[at]
         ends = np.cumsum(sizes)
         ids = pool[np.repeat(start[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
@@ -317,7 +379,7 @@ class Encoder:
 def _encoded(documents: DataFrame, id_col: str, text_col: str, name: str, folder: str, schema: str, build) -> DataFrame:
     spark = documents.sparkSession
     bound_batches(spark)
-    words = frequent_words(documents, id_col, text_col)
+    words = frequent_words(documents, text_col)
     rank = ranks(name, folder)
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     load = publish(spark, compile_lexicon(raw, [merge(w, rank) for w in raw]))
@@ -328,7 +390,7 @@ def _encoded(documents: DataFrame, id_col: str, text_col: str, name: str, folder
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(load(), name, folder)
-            sizes, ids = encoder.batch(batch.column(1).to_pylist())
+            sizes, ids = encoder.batch(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *build(sizes, ids)], schema=out)
 
     source = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from seamline.llm import p6_encoding_ids as p6
@@ -51,6 +52,29 @@ def test_ids_operator(spark):
     assert p6.token_ids(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_lexicon_counts_every_document(spark):
+    """Every word stands in two documents of 44,000; what is counted on some of them misses words or counts them once."""
+    spell = "translate(cast(id div 2 as string), '0123456789', 'abcdefghij')"
+    docs = spark.range(44_000).selectExpr("id as doc_id", f"{spell} as text").unionAll(spark.sql("select -1L, 'often often often'"))
+    words = p6.frequent_words(docs)
+    assert words[0] == " often" and set(words[1:]) == {"".join("abcdefghij"[int(c)] for c in str(k)) for k in range(22_000)} and len(words) == 22_001
+    assert {(r["word"], r["n"]) for r in p6.word_counts(docs).where("word like '%often'").collect()} == {("often", 1), (" often", 2)}
+
+
+def test_split_equals_the_pattern(monkeypatch):
+    rng = random.Random(5)
+    some = [*"strevmldSTaé中1٣½ \n\t\r\x85\xa0\u3000\x1c\x1f\u200b!-_.\x00🎉𝒳𐍈\u0301\u0163\u0165\u0172", "'", "'s", "'re", "'ll", "'ve", "'d", "  "]
+    batches = [[], [None], ["", None], ["'", "s"], ["'r", "e"], ["a ", " b"], HARD]
+    batches += [[None if rng.random() < 0.1 else "".join(rng.choices(some, k=rng.choice([0, 1, 2, 5, 30]))) for _ in range(20)] for _ in range(400)]
+    batches += [["".join(chr(c) for c in rng.choices([*range(0xD800), *range(0xE000, 0x110000)], k=200)) for _ in range(5)] for _ in range(40)]
+    for size in (1, 100, p6.SPLIT_BYTES):
+        monkeypatch.setattr(p6, "SPLIT_BYTES", size)
+        for texts in batches:
+            counts, words = p6.split(pa.array([None, *texts, "x"], pa.string()).slice(1, len(texts)))
+            want = [p6._WORDS.findall(t or "") for t in texts]
+            assert list(counts) == list(map(len, want)) and words.to_pylist() == [w for row in want for w in row]
+
+
 @pytest.mark.parametrize("capacity", [1, 7, 64, 512])
 def test_plans_hold_every_item_once(capacity):
     rng = random.Random(capacity)
